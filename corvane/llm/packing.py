@@ -126,6 +126,7 @@ class BestFit:
 def packed(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """parts (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     table = written(parts, "pieces")
+    columns = table.columns
     shards = buckets_for(table.count(), shard_pieces)
     dealt = table.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "ids_crc32")
@@ -140,7 +141,7 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BIN
                 bin_, at = bins.put(size)
                 sequence.append((shard << 32) | bin_)
                 offset.append(at)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in table.columns], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*table.columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*columns, "sequence_id", "offset"])
 
     return dealt.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
