@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, html_text, mixing, packing, quality, simhash, urls
+from . import exact_dedup, fingerprints, html_text, mixing, packing, quality, sharding, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_packing, op5_fingerprints, op6_mixing, op8_quality, op9_urls, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_packing, op5_fingerprints, op6_mixing, op7_sharding, op8_quality, op9_urls, op10_html)}
 
 ORACLES = {
     "op1_exact_dedup": r"""

@@ -224,3 +224,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = linked.join(of_root, F.col("root") == F.col("r")).select("node", "component")
     named = least.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "least").alias("component_id"))
     return fps.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component, the document with the smallest id.
+
+    Rows that repeat an id count as one document; rows without an id stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, words, distance)
+    gone = written(found.where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(sized(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
