@@ -10,8 +10,13 @@ shards and does not grow with the input.
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,12 +29,12 @@ CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 2_500
 OPEN_BINS = 1_024
-#: Words whose ids a task remembers at a time.
+#: Words whose ids a task remembers in each of two generations.
 CACHED_WORDS = 400_000
 
 
 class WordIds(dict):
-    """The ids of a word as little-endian unsigned 32-bit numbers, remembered by word.
+    """The ids of a word as little-endian unsigned 32-bit numbers, remembered by word in two generations.
 
     Valid for tokenizers whose pieces never cross ASCII white space, which they drop.
     """
@@ -37,23 +42,76 @@ class WordIds(dict):
     def __init__(self, encode: Callable[[str], list[int]]) -> None:
         super().__init__()
         self.encode = encode
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self.encode(word.decode("utf-8", "replace")))
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.made(word)
         if len(self) >= CACHED_WORDS:
+            self.older = dict(self)
             self.clear()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
+    def made(self, word: bytes) -> bytes:
+        return array("I", self.encode(word.decode("utf-8", "replace"))).tobytes()
+
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
 
 
+class LowerCaseWordIds(WordIds):
+    """For vocabularies that fold to NFC and lower case and make one byte-level piece of a run of letters.
+
+    Such runs go to the merges directly, and ASCII punctuation after letters is a piece of its own.
+    Everything else takes the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__(lambda word: tokenizer.encode(word, add_special_tokens=False).ids)
+        self.merges = tokenizer.model.tokenize
+
+    def made(self, word: bytes) -> bytes:
+        ascii_ = word.isascii()
+        if ascii_ and word.isalpha() and word.islower():
+            return array("I", [t.id for t in self.merges(word.decode())]).tobytes()
+        if b"<|" in word:  # perhaps a special token
+            return super().made(word)
+        text = word.decode("utf-8", "replace")
+        low = text.lower()
+        if low != text and (ascii_ or not _UNEVEN.search(text)):
+            return self[low.encode()]
+        if low == text and text.isalpha() and unicodedata.is_normalized("NFC", text):
+            return array("I", [t.id for t in self.merges(word.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+        if m := _MARKED.fullmatch(text):
+            return self[m[1].encode()] + self[m[2].encode()]
+        return super().made(word)
+
+
+#: Letters whose lower case depends on their neighbours or has two characters.
+_UNEVEN = re.compile("[\u03a3\u0130]")
+#: Letters, then ASCII punctuation without apostrophes: two pieces.
+_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+
+
+def _byte_chars() -> dict[int, int]:
+    """The character of each byte in byte-level vocabularies: itself if visible, else the next from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in visible)}
+
+
+_BYTE_CHARS = _byte_chars()
+_PROBES = ["the", "tokens", "internationalisation", "\u00e9l\u00e8ve", "stra\u00dfe", "ni\u00f1o"]
+
+
+@cache
 def word_ids(vocabulary: str) -> WordIds:
-    """vocabulary: a file of the tokenizers library, or the name of one that every executor has."""
-    import os
+    """vocabulary: a file of the tokenizers library, or the name of one that every executor has.
 
+    A Python worker keeps it, and the words it remembers, for its later tasks.
+    """
     from tokenizers import Tokenizer
 
     if not os.path.isabs(vocabulary):
@@ -61,7 +119,12 @@ def word_ids(vocabulary: str) -> WordIds:
 
         vocabulary = public_tokenizers.path(vocabulary)
     tokenizer = Tokenizer.from_file(vocabulary)
-    return WordIds(lambda word: tokenizer.encode(word, add_special_tokens=False).ids)
+    whole = lambda word: tokenizer.encode(word, add_special_tokens=False).ids
+    fast = LowerCaseWordIds(tokenizer)
+    probes = [p for w in _PROBES for p in (w, w + ".", w.capitalize() + "!?")]
+    if all(fast.made(p.encode()) == array("I", whole(p)).tobytes() for p in probes):
+        return fast
+    return WordIds(whole)
 
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
