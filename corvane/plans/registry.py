@@ -1,6 +1,892 @@
-"""Queries over the reference tables, each with SQL that gives the same rows."""
+"""The registered queries over the driver's tables, each with SQL that gives the same rows where SQL can.
+
+Indexes and behavior tables of a folder are made once per application, as a
+search service does, and shared by the queries that use them.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import uuid
+from collections.abc import Callable
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numeric, text
+from ..operators import behavior, candidates, dense, evaluation, features, lexical, model, validation
+from ..sources import fixtures, schema
+from ..sources import io as sources
+from ..streaming.search import search_stream
+from . import oracle
+from .oracle import clean, fold, hex_id, norm, sql, top, words
+from .retrieval import Behavior, Index, Limits, improved_features, legacy_features
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: The selected settings of the linear score.
+SELECTED = candidates.Settings(
+    weights={"word": 1.0, "char": 0.35, "filter": 0.0, "history": 0.0, "category": 0.05, "location": 0.7, "popularity": 0.03, "title": 0.0, "microcat": 0.4},
+    exact_rescore=True, geo_neighbors=3, pool=120,
+)
+
+
+class World:
+    """The relations of one folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+        self.items, self.queries, self.train = fixtures.items(spark, sf_dir), fixtures.queries(spark, sf_dir), fixtures.train(spark, sf_dir)
+        self.vectors, self.query_vectors = fixtures.vectors(spark, sf_dir), fixtures.query_vectors(spark, sf_dir)
+        self.index = Index(self.items, Limits())
+        self.log = Behavior(self.index, self.train)
+
+    @property
+    def units(self) -> DataFrame:
+        u = evaluation.query_units(self.train, 2)
+        key = F.concat_ws("|", "search_query", F.col("search_location_id").cast("string"), "search_infm_params_text", F.col("search_category").cast("string"))
+        return u.withColumn("qid", F.substring(F.md5(key), 1, 16))
+
+    @property
+    def past(self) -> DataFrame:
+        return evaluation.history_without(self.train, [2, 3])
+
+    @property
+    def truth(self) -> DataFrame:
+        t = self.train.select("search_location_id", "search_category", "item_id").distinct()
+        return self.queries.select("qid", "search_location_id", "search_category").join(t, ["search_location_id", "search_category"]).groupBy("qid").agg(F.sort_array(F.collect_set("item_id")).alias("relevant_items"))
+
+    @property
+    def near16(self) -> DataFrame:
+        return self.log.near_keys(self.queries, self.log.microcats, 16)
+
+    @property
+    def dense_top(self) -> DataFrame:
+        return dense.global_top(self.query_vectors, self.vectors, 100)
+
+    @property
+    def dense_local(self) -> DataFrame:
+        return dense.local_top(self.query_vectors, self.vectors, 20)
+
+    @lru_cache(maxsize=1)
+    def wide(self) -> DataFrame:
+        return improved_features(self.queries, self.index, self.log).cache()
+
+    def scored(self) -> DataFrame:
+        return candidates.scored(self.wide(), SELECTED)
+
+    def answered(self) -> DataFrame:
+        return candidates.answers(self.scored(), self.queries, self.items)
+
+    def locality_rows(self) -> DataFrame:
+        mean = behavior.mean_locality(self.train)
+        near = behavior.query_locality(self.queries, self.near16, behavior.locality(self.log.train, "key", 3.0), mean)
+        return features.with_locality(self.scored(), self.items, near, behavior.locality(self.train, "item_microcat_id", 20.0), mean)
+
+
+@lru_cache(maxsize=4)
+def _world(application: str, spark: SparkSession, sf_dir: str) -> World:
+    return World(spark, sf_dir)
+
+
+def world(spark: SparkSession, sf_dir: str) -> World:
+    return _world(spark.sparkContext.applicationId, spark, sf_dir)
+
+
+def query(reference: str | None = None, **parts: str):
+    """Registers a function of a World; reference: SQL over the named parts."""
+
+    def register(f: Callable[[World], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(world(spark, sf_dir))
+        if reference:
+            ORACLES[f.__name__] = sql(reference, **parts)
+        return f
+
+    return register
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+# sources and sinks ---------------------------------------------------------
+
+
+@query("SELECT item_id, item_title_raw, item_category_id, item_location_id, item_microcat_id, round(item_price, 6) AS item_price, item_rating, item_rating_reviews_count, item_is_phone_hidden FROM items")
+def scan_items(w):
+    """Scan with the contract's columns and types."""
+    return schema.conformed(w.items, schema.ITEM_FIELDS, "items").select("item_id", "item_title_raw", "item_category_id", "item_location_id", "item_microcat_id", *r6("item_price"), "item_rating", "item_rating_reviews_count", "item_is_phone_hidden")
+
+
+@query("SELECT qid, search_query, search_location_id, search_is_delivery_search, search_infm_params_text, search_category FROM queries")
+def scan_queries(w):
+    return schema.conformed(w.queries, schema.QUERY_FIELDS, "queries").select("qid", *schema.QUERY_COLUMNS)
+
+
+@query("SELECT search_query, search_location_id, search_category, item_id, count(*) AS clicks FROM train GROUP BY ALL")
+def scan_train(w):
+    t = schema.conformed(w.train, schema.QUERY_FIELDS + schema.ITEM_FIELDS, "train")
+    return t.groupBy("search_query", "search_location_id", "search_category", "item_id").agg(F.count(F.lit(1)).alias("clicks"))
+
+
+@query("SELECT * FROM (VALUES ('documents', 'item_id,item_price'), ('benchmark', 'item_price')) t(relation, missing)")
+def missing_columns(w):
+    need = ["item_id", "item_price", "text"]
+    found = [(n, ",".join(schema.missing_columns(w.spark.read.parquet(f"{w.sf_dir}/{n}.parquet"), need))) for n in ("documents", "benchmark")]
+    return w.spark.createDataFrame(found, "relation string, missing string")
+
+
+@query(f"SELECT {hex_id('i', 'doc_id')} AS item_id FROM documents")
+def projected_ids(w):
+    """A scan of one column."""
+    return w.items.select("item_id")
+
+
+def _scratch(w: World, name: str) -> str:
+    """A folder that driver and executors share."""
+    spark = w.spark
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if at.isEmpty():
+            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+            at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = at.get()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
+@query("SELECT qid AS query_id, string_agg(item_id, ' ' ORDER BY rank) AS answer FROM answered GROUP BY qid")
+def answer_csv(w):
+    """Answers written as CSV and read back as strings."""
+    path = _scratch(w, "answer")
+    sources.write_answer(sources.answer_rows(w.answered()).withColumnRenamed("qid", "query_id"), path)
+    return sources.read_answer(w.spark, path)
+
+
+@query("SELECT item_id AS id, text AS text FROM benchmark")
+def csv_strings(w):
+    """A CSV source whose columns are all strings, empty ones included."""
+    path = _scratch(w, "strings")
+    b = w.spark.read.parquet(f"{w.sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("id"), "text")
+    b.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    back = w.spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "").csv(path)
+    return back.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query()
+def file_fingerprints(w):
+    """Size and SHA-256 of a relation's files, read in the cluster."""
+    return sources.file_fingerprints(w.spark, f"{w.sf_dir}/benchmark.parquet")
+
+
+@query("SELECT count(*) AS rows FROM documents")
+def table_rows(w):
+    return w.items.agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("SELECT item_category_id, count(*) AS n FROM items GROUP BY ALL")
+def cached_table(w):
+    """A table built once under the fingerprint of its key and read from there."""
+    build = lambda: w.items.groupBy("item_category_id").agg(F.count(F.lit(1)).alias("n"))
+    return sources.cached(w.spark, _scratch(w, "cache"), {"dir": w.sf_dir, "table": "categories"}, "categories", build, ["item_category_id", "n"])
+
+
+# text ------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {norm('text')} AS normalized FROM documents")
+def text_normalize(w):
+    d = w.spark.read.parquet(f"{w.sf_dir}/documents.parquet")
+    return d.select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
+
+
+@query(f"SELECT doc_id, len({words(norm('text'))}) AS tokens, {words(norm('text'))}[1] AS first, {words(norm('text'))}[-1] AS last FROM documents")
+def text_tokens(w):
+    d = w.spark.read.parquet(f"{w.sf_dir}/documents.parquet").select("doc_id", text.tokens(text.normalize_text(F.col("text"))).alias("t"))
+    return d.select("doc_id", F.size("t").cast("long").alias("tokens"), F.try_element_at("t", F.lit(1)).alias("first"), F.try_element_at("t", F.lit(-1)).alias("last"))
+
+
+@query(f"SELECT qid, {fold(norm('search_query'))} AS fold FROM queries")
+def text_fold(w):
+    return evaluation.with_fold(w.queries).select("qid", "fold")
+
+
+@query("SELECT qid, sha256('seed' || chr(30) || search_query || chr(31) || CAST(search_category AS VARCHAR)) AS rank FROM queries")
+def text_stable_rank(w):
+    return w.queries.select("qid", text.stable_rank("seed", F.col("search_query"), F.col("search_category")).alias("rank"))
+
+
+@query()
+def text_stems(w):
+    """Russian stems of a small list beside the tokens of queries."""
+    t = w.queries.select(F.explode(text.tokens(text.normalize_text(F.col("search_query")))).alias("token")).distinct()
+    ru = w.spark.createDataFrame([(x,) for x in ("квартиры", "автомобилей", "важнейший", "телефон")], "token string")
+    return t.union(ru).select("token", text.stems(F.array("token"))[0].alias("stem"))
+
+
+@query("SELECT item_id, concat_ws(' ', title, title, title, substr(params, 1, 1200), substr(params, 1, 1200), substr(description, 1, 900)) AS word_document, title AS char_document, substr(params, 1, 1200) AS filter_document FROM fields")
+def text_documents(w):
+    t, p, d = F.col("title"), F.col("params"), F.col("description")
+    return w.index.fields.select("item_id", text.item_word_document(t, p, d).alias("word_document"), t.alias("char_document"), text.item_filter_document(p).alias("filter_document"))
+
+
+@query("SELECT doc AS item_id, count(*) AS terms, sum(tf)::BIGINT AS total FROM word_counts GROUP BY doc")
+def text_word_grams(w):
+    return w.index.word_counts.groupBy(F.col("doc").alias("item_id")).agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("total"))
+
+
+@query("SELECT term, sum(tf)::BIGINT AS total, count(*) AS docs FROM char_counts GROUP BY term")
+def text_char_grams(w):
+    return w.index.char_counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("docs"))
+
+
+@query(f"SELECT qid, CASE WHEN {clean('search_infm_params_text')} = '' THEN lower({clean('search_query')}) ELSE lower({clean('search_query')}) || ' | ' || {clean('search_infm_params_text')} END AS dense_text FROM queries")
+def text_dense_queries(w):
+    return w.queries.select("qid", text.dense_query_text(F.col("search_query"), F.col("search_infm_params_text")).alias("dense_text"))
+
+
+@query(f"SELECT item_id, {clean('item_title_raw')} || ' | ' || substr({clean('item_infm_params_text')}, 1, 200) || ' | ' || substr({clean('item_description_raw')}, 1, 300) AS dense_text FROM items")
+def text_dense_items(w):
+    return w.items.select("item_id", text.dense_item_text(F.col("item_title_raw"), F.col("item_infm_params_text"), F.col("item_description_raw")).alias("dense_text"))
+
+
+@query(f"SELECT qid, round(ln(1 + len({words(norm('search_query'))})), 6) AS log_tokens, round(ln(1 + length({norm('search_query')})), 6) AS log_chars FROM queries")
+def text_lengths(w):
+    n = text.normalize_text(F.col("search_query"))
+    return w.queries.select("qid", F.round(text.log_tokens(n), 6).alias("log_tokens"), F.round(text.log_chars(n), 6).alias("log_chars"))
+
+
+@query("SELECT item_id, round(CASE WHEN item_price IS NOT NULL THEN ln(1 + least(greatest(item_price, 0), 1e12)) END, 6) AS log_price, round(ln(1 + greatest(item_rating_reviews_count, 0)), 6) AS log_reviews FROM items")
+def number_clipped_logs(w):
+    return w.items.select("item_id", F.round(numeric.clipped_log(F.col("item_price"), 1e12), 6).alias("log_price"), F.round(numeric.clipped_log(F.col("item_rating_reviews_count")), 6).alias("log_reviews"))
+
+
+_HAVERSINE = "pow(sin((radians(item_latitude) - radians(latitude)) / 2), 2) + cos(radians(latitude)) * cos(radians(item_latitude)) * pow(sin((radians(item_longitude) - radians(longitude)) / 2), 2)"
+_DISTANCE = f"ln(1 + 6371.0 * 2 * asin(sqrt(least(greatest({_HAVERSINE}, 0.0), 1.0))))"
+
+
+@query(f"SELECT item_id, round({_DISTANCE}, 6) AS log_distance_km FROM items JOIN centers USING (item_location_id)")
+def number_distance(w):
+    x = w.items.join(F.broadcast(features.location_centers(w.items)), "item_location_id")  # one row per location
+    return x.select("item_id", F.round(numeric.log_distance_km(F.col("item_latitude"), F.col("item_longitude"), F.col("latitude"), F.col("longitude")), 6).alias("log_distance_km"))
+
+
+# filters and sets -------------------------------------------------------------
+
+
+@query(f"SELECT search_query, search_location_id, item_id, count(*) AS n FROM folded WHERE fold = 2 GROUP BY ALL")
+def filter_fold(w):
+    return evaluation.with_fold(w.train).where("fold = 2").groupBy("search_query", "search_location_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT fold, count(*) AS n FROM past GROUP BY fold")
+def filter_not_folds(w):
+    return evaluation.with_fold(w.past).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT item_id, count(*) AS n FROM train WHERE item_id IN (SELECT item_id FROM items WHERE item_category_id < 3) GROUP BY item_id")
+def filter_membership(w):
+    return w.train.join(w.items.where("item_category_id < 3").select("item_id"), "item_id", "left_semi").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT item_id FROM train WHERE item_id NOT IN (SELECT item_id FROM items WHERE item_category_id < 3)")
+def filter_absent(w):
+    return w.train.select("item_id").distinct().join(w.items.where("item_category_id < 3").select("item_id"), "item_id", "left_anti")
+
+
+@query(f"SELECT qid FROM (SELECT qid, {norm('search_query')} AS key FROM units) WHERE key NOT IN (SELECT {norm('search_query')} FROM units WHERE search_category < 2)")
+def filter_text_clusters(w):
+    used = w.units.where("search_category < 2").select(text.normalize_text(F.col("search_query")).alias("key"))
+    return evaluation.sample_units(w.units, None, "seed", used).select("qid")
+
+
+@query("SELECT count(*) FILTER (regexp_matches(item_id, '^[0-9a-f]{16}$')) AS valid_items, count(*) AS items FROM items")
+def filter_id_formats(w):
+    return w.items.agg(F.count_if(schema.item_ids_valid(F.col("item_id"))).alias("valid_items"), F.count(F.lit(1)).alias("items"))
+
+
+@query("SELECT qid, count(*) AS candidates, count(*) FILTER (word > 0) AS word_positive FROM wide WHERE global_word_rank <= 40 OR geo3_word_rank <= 40 OR global_char_rank <= 40 OR geo3_char_rank <= 40 OR global_filter_rank <= 40 OR history_source IS NOT NULL OR fallback_source IS NOT NULL GROUP BY qid")
+def filter_eligible(w):
+    """The masks of a smaller pool over the largest one's ranks."""
+    keep = candidates.masks(w.wide().columns, 40, 3)["eligible"]
+    return w.wide().where(keep).groupBy("qid").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("word") > 0).alias("word_positive"))
+
+
+@query(
+    "SELECT item_id, item_category_id, origin FROM (SELECT item_id, item_category_id, 0 AS origin FROM items WHERE item_category_id < 3 UNION ALL SELECT DISTINCT item_id, item_category_id, 1 AS origin FROM train) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY origin) = 1"
+)
+def set_union_catalog(w):
+    some = w.items.where("item_category_id < 3")
+    got = evaluation.union_catalog(some, w.train)
+    return got.select("item_id", "item_category_id").join(some.select(F.col("item_id"), F.lit(0).alias("o")), "item_id", "left").select("item_id", "item_category_id", F.coalesce("o", F.lit(1)).alias("origin"))
+
+
+@query("SELECT item_id FROM items WHERE item_category_id < 4 INTERSECT SELECT item_id FROM train")
+def set_overlap(w):
+    return w.items.where("item_category_id < 4").select("item_id").intersect(w.train.select("item_id"))
+
+
+@query("SELECT item_id FROM items EXCEPT SELECT item_id FROM train")
+def set_difference(w):
+    return w.items.select("item_id").exceptAll(w.train.select("item_id").distinct())
+
+
+# lexical index and search --------------------------------------------------------
+
+
+@query("SELECT term, df, cf, round(idf, 6) AS idf FROM vocab")
+def lexical_vocabulary(w):
+    return w.index.vocabulary.select("term", "df", "cf", *r6("idf"))
+
+
+@query("SELECT term, df, cf, round(idf, 6) AS idf FROM char_vocab")
+def lexical_char_vocabulary(w):
+    return w.index.char_vocabulary.select("term", "df", "cf", *r6("idf"))
+
+
+@query("SELECT doc AS item_id, term, round(w, 6) AS w FROM word_post")
+def lexical_postings(w):
+    return w.index.word_postings.select(F.col("doc").alias("item_id"), "term", *r6("w"))
+
+
+@query("SELECT doc AS item_id, count(*) AS terms, round(sum(w), 6) AS total FROM filter_post GROUP BY doc")
+def lexical_filter_postings(w):
+    return w.index.filter_postings.groupBy(F.col("doc").alias("item_id")).agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("w"), 6).alias("total"))
+
+
+@query("SELECT doc AS item_id, count(*) AS terms, round(sum(w), 6) AS total FROM title_post GROUP BY doc")
+def lexical_title_postings(w):
+    return w.index.title_postings.groupBy(F.col("doc").alias("item_id")).agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("w"), 6).alias("total"))
+
+
+@query("SELECT item_id, coalesce(n, 0) AS nnz, median(coalesce(n, 0)) OVER () AS median, round(1.0 / (0.25 + 0.75 * coalesce(n, 0) / median(coalesce(n, 0)) OVER ()), 6) AS length_norm FROM items LEFT JOIN (SELECT doc AS item_id, count(*) AS n FROM word_post GROUP BY doc) USING (item_id)")
+def lexical_document_sizes(w):
+    x = lexical.vocabulary_sizes(w.index.word_postings, w.items)
+    return x.select("item_id", "nnz", "median", F.round(lexical.length_norm(F.col("nnz"), F.col("median")), 6).alias("length_norm"))
+
+
+_RANKED = "SELECT qid, item_id, round(score, 6) AS score, rank FROM "
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    return found.select("qid", "item_id", *r6("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_RANKED + "word_top")
+def lexical_word_topk(w):
+    return _ranked(lexical.nearest(w.index.query_words(w.queries), w.index.word_postings, 120))
+
+
+@query(_RANKED + "char_top")
+def lexical_char_topk(w):
+    return _ranked(lexical.nearest(w.index.query_chars(w.queries), w.index.char_postings, 120))
+
+
+@query(_RANKED + "filter_top")
+def lexical_filter_topk(w):
+    return _ranked(lexical.nearest(w.index.query_filters(w.queries), w.index.filter_postings, 120))
+
+
+@query(_RANKED + "word_local")
+def lexical_word_local_topk(w):
+    return _ranked(lexical.nearest_in_locations(w.index.query_words(w.queries), w.index.word_postings, 120, w.log.locations(w.queries, 3), w.index.locations))
+
+
+@query(_RANKED + "char_local")
+def lexical_char_local_topk(w):
+    return _ranked(lexical.nearest_in_locations(w.index.query_chars(w.queries), w.index.char_postings, 120, w.log.locations(w.queries, 3), w.index.locations))
+
+
+@query(f"SELECT f.qid, f.item_id, round(e.score, 6) AS score FROM filter_top f JOIN ({oracle._sims('q_words', 'word_post')}) e USING (qid, item_id)")
+def lexical_exact_for_candidates(w):
+    """Similarities of given pairs, whatever their rank."""
+    c = lexical.nearest(w.index.query_filters(w.queries), w.index.filter_postings, 120)
+    return lexical.for_candidates(c, w.index.query_words(w.queries), w.index.word_postings).select("qid", "item_id", *r6("score"))
+
+
+_COVER = """SELECT c.qid, c.item_id, round(coalesce(count(p.doc) / nullif(any_value(n), 0), 0), 6) AS word_unigram_coverage,
+    round(coalesce(sum(q.idf) FILTER (p.doc IS NOT NULL) / nullif(any_value(s), 0), 0), 6) AS word_unigram_idf_coverage, round(coalesce(count(t.doc) / nullif(any_value(n), 0), 0), 6) AS title_unigram_coverage
+    FROM filter_top c LEFT JOIN (SELECT doc AS qid, term, idf, count(*) OVER (PARTITION BY doc) AS n, sum(idf) OVER (PARTITION BY doc) AS s FROM q_words JOIN vocab USING (term) WHERE NOT contains(term, ' ')) q ON q.qid = c.qid
+    LEFT JOIN word_post p ON p.doc = c.item_id AND p.term = q.term LEFT JOIN title_post t ON t.doc = c.item_id AND t.term = q.term GROUP BY c.qid, c.item_id"""
+
+
+@query(_COVER)
+def lexical_coverage(w):
+    c = lexical.nearest(w.index.query_filters(w.queries), w.index.filter_postings, 120)
+    terms = w.index.query_words(w.queries).select(F.col("doc").alias("qid"), "term").join(w.index.vocabulary.select("term", "idf"), "term")
+    names = ["word_unigram_coverage", "word_unigram_idf_coverage", "title_unigram_coverage"]
+    return lexical.coverage(c, terms, w.index.word_postings, w.index.title_postings).select("qid", "item_id", *r6(*names))
+
+
+# behavior -----------------------------------------------------------------------
+
+
+@query("SELECT search_category, item_category_id, round(prior, 6) AS prior FROM category_prior")
+def behavior_category_prior(w):
+    return w.log.category_prior.select("search_category", "item_category_id", *r6("prior"))
+
+
+@query("SELECT search_location_id, item_location_id, round(prior, 6) AS prior FROM location_prior")
+def behavior_location_prior(w):
+    return w.log.location_prior.select("search_location_id", "item_location_id", *r6("prior"))
+
+
+@query("SELECT search_location_id, item_location_id, round(prior, 6) AS prior, rank FROM compatible")
+def behavior_compatible_locations(w):
+    c = behavior.compatible_locations(w.log.location_prior, 3)
+    return c.select("search_location_id", "item_location_id", *r6("prior"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT qid, location FROM places")
+def behavior_query_locations(w):
+    return w.log.locations(w.queries, 3)
+
+
+@query("SELECT item_id, round(popularity, 6) AS popularity FROM popular")
+def behavior_popularity(w):
+    return w.log.popularity.select("item_id", *r6("popularity"))
+
+
+@query("SELECT item_id, round(popularity, 6) AS popularity FROM fallback")
+def behavior_fallback(w):
+    return w.log.fallback.select("item_id", *r6("popularity"))
+
+
+@query("SELECT key, item_id, rank, round(click, 6) AS click FROM history")
+def behavior_history(w):
+    return w.log.history.select("key", "item_id", F.col("rank").cast("long").alias("rank"), *r6("click"))
+
+
+@query("SELECT qid, key, round(score, 6) AS score, rank FROM near12")
+def behavior_near_keys(w):
+    n = w.log.near_keys(w.queries, w.log.history, 12)
+    return n.select("qid", "key", *r6("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT qid, item_id, round(score, 6) AS score FROM history_found")
+def behavior_history_channel(w):
+    return w.log.history_channel(w.queries).select("qid", "item_id", *r6("score"))
+
+
+@query("SELECT key, item_microcat_id, round(p, 6) AS p FROM microcats")
+def behavior_microcats(w):
+    return w.log.microcats.select("key", "item_microcat_id", *r6("p"))
+
+
+@query("SELECT qid, item_microcat_id, round(score, 6) AS score FROM microcat_found")
+def behavior_microcat_transfer(w):
+    return w.log.microcat_transfer(w.queries).select("qid", "item_microcat_id", *r6("score"))
+
+
+@query("SELECT key, n, hits, round(propensity, 6) AS propensity FROM key_local")
+def behavior_key_locality(w):
+    return behavior.locality(w.log.train, "key", 3.0).select("key", "n", "hits", *r6("propensity"))
+
+
+@query("SELECT item_microcat_id, n, hits, round(propensity, 6) AS propensity FROM microcat_local")
+def behavior_microcat_locality(w):
+    return behavior.locality(w.train, "item_microcat_id", 20.0).select("item_microcat_id", "n", "hits", *r6("propensity"))
+
+
+@query("SELECT round(mean, 6) AS mean FROM mean_local")
+def behavior_mean_locality(w):
+    return behavior.mean_locality(w.train).select(*r6("mean"))
+
+
+@query("SELECT qid, round(locality, 6) AS locality FROM query_local")
+def behavior_query_locality(w):
+    got = behavior.query_locality(w.queries, w.near16, behavior.locality(w.log.train, "key", 3.0), behavior.mean_locality(w.train))
+    return got.select("qid", *r6("locality"))
+
+
+# dense --------------------------------------------------------------------------
+
+
+@query("SELECT qid, item_id, round(score, 6) AS score, rank FROM dense_top")
+def dense_global_topk(w):
+    return _ranked(w.dense_top)
+
+
+@query("SELECT qid, item_id, round(score, 6) AS score, rank FROM dense_local")
+def dense_local_topk(w):
+    return _ranked(w.dense_local)
+
+
+@query("SELECT qid, item_id FROM dense_pairs")
+def dense_candidates(w):
+    return dense.candidates(w.dense_top, w.dense_local, 50)
+
+
+@query(
+    """SELECT p.qid, p.item_id, round(c.score, 6) AS dense_cos, round(c.score - b.best, 6) AS dense_cos_minus_global_top1, round(ln(1 + coalesce(t.rank - 1, 100)), 6) AS dense_log_global_rank,
+    round(c.score - coalesce(l.best, -1.0), 6) AS dense_cos_minus_local_top1, round(ln(1 + CASE WHEN l.best IS NULL THEN 1e5 ELSE len(list_filter(l.scores, lambda s: s > c.score)) END), 6) AS dense_log_local_rank
+    FROM dense_pairs p JOIN cosines c USING (qid, item_id) JOIN (SELECT qid, max(score) AS best FROM cosines GROUP BY qid) b USING (qid) LEFT JOIN dense_top t USING (qid, item_id)
+    LEFT JOIN (SELECT qid, max(score) AS best, list(score) AS scores FROM cosines WHERE same GROUP BY qid) l USING (qid)"""
+)
+def dense_features(w):
+    near = w.dense_top
+    got = dense.features(dense.candidates(near, w.dense_local, 50), w.query_vectors, w.vectors, near, 100)
+    return got.select("qid", "item_id", *r6(*features.DENSE))
+
+
+@query(
+    """SELECT qid, positive, item_id AS negative FROM (SELECT p.qid, p.positive, f.item_id FROM (SELECT qid, item_id AS positive FROM dense_top WHERE rank = 1) p
+    JOIN (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS seat FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS place, count(*) OVER (PARTITION BY qid) AS n FROM cosines WHERE same)
+          WHERE n >= 12 AND place > 3 AND place <= least(32, n - 1) AND (qid, item_id) NOT IN (SELECT qid, item_id FROM dense_top WHERE rank <= 5) QUALIFY seat <= 9) f USING (qid))
+    QUALIFY row_number() OVER (PARTITION BY qid, positive ORDER BY sha256(concat_ws(chr(31), '0', qid, positive, item_id))) = 1"""
+)
+def dense_hard_negatives(w):
+    near = w.dense_top
+    pairs = near.where("rank = 1").select("qid", F.col("item_id").alias("positive"))
+    return dense.hard_negatives(pairs, near.where("rank <= 5"), w.query_vectors, w.vectors, 3, 12, 20)
+
+
+@query()
+def dense_encode(w):
+    """Item texts through a pluggable encoder (here: hashed words)."""
+
+    def encoder():
+        import zlib
+
+        import numpy as np
+
+        def encode(texts):
+            out = np.zeros((len(texts), 16), dtype=np.float32)
+            for k, t in enumerate(texts):
+                for word in t.split():
+                    out[k, zlib.crc32(word.encode()) % 16] += 1
+            return out
+
+        return encode
+
+    return dense.encoded(text_dense_items(w), encoder, "item_id", "dense_text")
+
+
+# candidates, scores, answers ------------------------------------------------------
+
+
+_WIDE = ["word", "char", "filter", "history", "category", "location", "popularity", "exact_word", "exact_char", "exact_filter", "title", "microcat"]
+
+
+@query(f"SELECT qid, item_id, {', '.join(f'round({v}, 6) AS {v}' for v in _WIDE)}, global_word_rank, global_char_rank, global_filter_rank, geo3_word_rank, geo3_char_rank, history_source, fallback_source FROM wide")
+def ranking_wide_rows(w):
+    """Packed rows: twelve values and the ranks of every source."""
+    ranks = [F.col(c).cast("long").alias(c) for c in ("global_word_rank", "global_char_rank", "global_filter_rank", "geo3_word_rank", "geo3_char_rank")]
+    return w.wide().select("qid", "item_id", *r6(*_WIDE), *ranks, "history_source", "fallback_source")
+
+
+@query(
+    """SELECT m.qid, m.item_id, round(1.0 * word + 0.75 * char + 0.18 * filter + 0.55 * history_value + 0.12 * coalesce(cp.prior, 0) + 0.06 * coalesce(lp.prior, 0) + 0.03 * m.popularity, 6) AS score
+    FROM (SELECT qid, item_id, coalesce(max(value) FILTER (channel = 'word'), 0.0) AS word, coalesce(max(value) FILTER (channel = 'char'), 0.0) AS char, coalesce(max(value) FILTER (channel = 'filter'), 0.0) AS filter,
+          coalesce(max(value) FILTER (channel = 'history'), 0.0) AS history_value, coalesce(max(value) FILTER (channel = 'popularity'), 0.0) AS popularity FROM parts GROUP BY ALL) m
+    JOIN queries USING (qid) JOIN (SELECT item_id, item_category_id, item_location_id FROM items) USING (item_id)
+    LEFT JOIN category_prior cp USING (search_category, item_category_id) LEFT JOIN location_prior lp USING (search_location_id, item_location_id)"""
+)
+def ranking_legacy_scores(w):
+    """Seven channels under the first weights."""
+    rows = legacy_features(w.queries, w.index, w.log)
+    weights = {"word": 1.0, "char": 0.75, "filter": 0.18, "history": 0.55, "category": 0.12, "location": 0.06, "popularity": 0.03}
+    return rows.select("qid", "item_id", F.round(sum((F.lit(x) * F.col(c) for c, x in weights.items()), F.lit(0.0)), 6).alias("score"))
+
+
+@query("SELECT qid, item_id, round(base_score, 6) AS base_score FROM scored")
+def ranking_linear_score(w):
+    return w.scored().select("qid", "item_id", *r6("base_score"))
+
+
+@query(
+    """SELECT qid, item_id, round(1.0 * CASE WHEN global_word_rank <= 60 OR geo3_word_rank <= 60 THEN word ELSE 0 END + 0.75 * CASE WHEN global_char_rank <= 60 OR geo3_char_rank <= 60 THEN char ELSE 0 END
+    + 0.18 * CASE WHEN global_filter_rank <= 60 THEN filter ELSE 0 END + 0.55 * history + 0.12 * category + 0.06 * location + 0.03 * popularity, 6) AS base_score FROM wide
+    WHERE global_word_rank <= 60 OR geo3_word_rank <= 60 OR global_char_rank <= 60 OR geo3_char_rank <= 60 OR global_filter_rank <= 60 OR history_source IS NOT NULL OR fallback_source IS NOT NULL"""
+)
+def ranking_censored_score(w):
+    """Channel values count only within the pool."""
+    return candidates.scored(w.wide(), candidates.Settings(pool=60)).select("qid", "item_id", *r6("base_score"))
+
+
+@query("SELECT qid, item_id, rank FROM answered")
+def ranking_answers(w):
+    return w.answered().select("qid", "item_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "SELECT qid, item_id, rank FROM (SELECT qid, item_id, row_number() OVER (PARTITION BY qid ORDER BY fill, score DESC, item_id) AS rank FROM (SELECT qid, item_id, score, 0 AS fill FROM few UNION ALL SELECT qid, item_id, 0, 1 FROM queries, (SELECT item_id FROM items ORDER BY item_id LIMIT 50) WHERE (qid, item_id) NOT IN (SELECT qid, item_id FROM few)) QUALIFY rank <= 50)",
+    few="SELECT qid, item_id, score FROM word_top WHERE rank <= 7",
+)
+def ranking_filled_answers(w):
+    """Short answers are filled with the smallest unused ids."""
+    few = lexical.nearest(w.index.query_words(w.queries), w.index.word_postings, 7)
+    return candidates.answers(few, w.queries, w.items, score="score").select("qid", "item_id", F.col("rank").cast("long").alias("rank"))
+
+
+# features -----------------------------------------------------------------------
+
+
+_SIX = ["exact_word", "exact_char", "exact_filter", "title", "microcat", "location"]
+
+
+@query(
+    f"SELECT qid, item_id, {', '.join(f'round(max({n}) OVER (PARTITION BY qid), 6) AS query_max_{n}' for n in _SIX)}, {', '.join(f'round({n} / greatest(max({n}) OVER (PARTITION BY qid), 1e-6), 6) AS relative_{n}' for n in _SIX)}, "
+    "round(exact_word * location, 6) AS exact_word_x_location, round(exact_char * location, 6) AS exact_char_x_location, round(microcat * location, 6) AS microcat_x_location, round(title * microcat, 6) AS title_x_microcat FROM scored"
+)
+def feature_row_matrix(w):
+    names = [f"query_max_{n}" for n in _SIX] + [f"relative_{n}" for n in _SIX] + [f"{a}_x_{b}" for a, b in features.PRODUCTS]
+    return features.row_matrix(w.scored()).select("qid", "item_id", *r6(*names))
+
+
+@query(
+    """SELECT qid, item_id, round(q.locality, 6) AS query_locality, round(q.locality * location, 6) AS query_locality_x_location_prior, round(m.propensity, 6) AS microcat_locality_prior, round(q.locality * m.propensity, 6) AS query_locality_x_microcat_locality_prior
+    FROM scored JOIN query_local q USING (qid) JOIN (SELECT item_id, item_microcat_id FROM items) USING (item_id) JOIN microcat_local m USING (item_microcat_id)"""
+)
+def feature_locality(w):
+    return w.locality_rows().select("qid", "item_id", *r6(*features.LOCALITY))
+
+
+@query("SELECT item_location_id, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM centers")
+def feature_location_centers(w):
+    return features.location_centers(w.items).select("item_location_id", *r6("latitude", "longitude"))
+
+
+@query(
+    f"""SELECT qid, item_id, round(CASE WHEN item_price IS NOT NULL THEN ln(1 + least(greatest(item_price, 0), 1e12)) END, 6) AS log_price, item_rating AS rating, round(ln(1 + greatest(item_rating_reviews_count, 0)), 6) AS log_reviews,
+    item_is_phone_hidden::INT::DOUBLE AS phone_hidden, item_is_message_forbidden::INT::DOUBLE AS message_forbidden, (item_location_id = search_location_id)::INT::DOUBLE AS exact_location, (item_category_id = search_category)::INT::DOUBLE AS category_match,
+    round({_DISTANCE}, 6) AS log_distance_km, search_is_delivery_search::INT::DOUBLE AS delivery_query, (search_category = 0)::INT::DOUBLE AS global_category_query, round(ln(1 + len({words(norm('search_query'))})), 6) AS log_query_tokens,
+    round(ln(1 + len({words(norm('item_title_raw'))})), 6) AS log_title_tokens, round(ln(1 + length({norm('search_query')})), 6) AS log_query_characters
+    FROM word_top JOIN queries USING (qid) JOIN items USING (item_id) LEFT JOIN (SELECT item_location_id AS search_location_id, latitude, longitude FROM centers) USING (search_location_id)"""
+)
+def feature_metadata(w):
+    pairs = lexical.nearest(w.index.query_words(w.queries), w.index.word_postings, 120)
+    return features.metadata(pairs, w.queries, w.items, features.location_centers(w.items)).select("qid", "item_id", *r6(*features.METADATA))
+
+
+@query("SELECT qid, item_id, CASE WHEN list_contains(relevant_items, item_id) THEN 1 ELSE 0 END AS label, round(CASE WHEN list_contains(relevant_items, item_id) THEN 100.0 / greatest(1, len(relevant_items)) ELSE 1.0 END, 6) AS weight FROM scored JOIN truth USING (qid)")
+def feature_labels(w):
+    return features.labelled(w.scored(), w.truth).select("qid", "item_id", "label", *r6("weight"))
+
+
+@query(
+    """SELECT qid, item_id, label FROM (SELECT s.qid, s.item_id, CASE WHEN list_contains(relevant_items, s.item_id) THEN 1 ELSE 0 END AS label, row_number() OVER (PARTITION BY s.qid ORDER BY base_score DESC, s.item_id) AS best,
+    row_number() OVER (PARTITION BY s.qid ORDER BY sha256(concat_ws(chr(31), '0', s.qid, s.item_id))) AS drawn FROM scored s JOIN truth t ON t.qid = s.qid) WHERE best <= 40 OR drawn <= 20 OR label = 1"""
+)
+def feature_training_sample(w):
+    return features.sampled(features.labelled(w.scored(), w.truth), 40, 20).select("qid", "item_id", "label")
+
+
+def _prepared(w: World) -> DataFrame:
+    """All 47 features of the eligible rows."""
+    rows = features.row_matrix(w.locality_rows())
+    meta = features.metadata(rows, w.queries, w.items, features.location_centers(w.items))
+    terms = w.index.query_words(w.queries).select(F.col("doc").alias("qid"), "term").join(w.index.vocabulary.select("term", "idf"), "term")
+    cover = lexical.coverage(rows, terms, w.index.word_postings, w.index.title_postings)
+    size = lexical.vocabulary_sizes(w.index.word_postings, w.items).select("item_id", lexical.length_norm(F.col("nnz"), F.col("median")).alias("word_vocab_bm25_length_norm"))
+    return rows.join(meta, ["qid", "item_id"]).join(cover, ["qid", "item_id"]).join(size, "item_id")
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT qid) AS queries, round(sum(base_score), 3) AS base FROM scored")
+def feature_prepared_47(w):
+    names = features.SCHEMAS["metadata"]
+    x = _prepared(w).select("qid", "item_id", *names)
+    return x.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("qid").alias("queries"), F.round(F.sum("base_score"), 3).alias("base"))
+
+
+@query()
+def model_blended_answers(w):
+    """Boosted trees on a sample of labelled rows, blended with the linear score."""
+    rows = features.labelled(_prepared(w), w.truth)
+    fitted = model.train(features.sampled(rows, 60, 20), "metadata", model.Boosting(rounds=5, depth=3, rate=0.1, least_rows=5))
+    return model.ranked(rows, w.queries, w.items, fitted, "metadata", 0.2).select("qid", "item_id", "rank")
+
+
+@query("SELECT qid, item_id, rank FROM answered")
+def model_blend_zero(w):
+    """At blend 0 the answers are those of the linear score."""
+    got = model.ranked(w.scored(), w.queries, w.items, None, "locality", 0.0)
+    return got.select("qid", "item_id", F.col("rank").cast("long").alias("rank"))
+
+
+# evaluation ----------------------------------------------------------------------
+
+
+@query("SELECT qid, search_query, search_location_id, search_category, len(relevant_items) AS relevant, relevant_items[1] AS first FROM units")
+def evaluation_units(w):
+    return w.units.select("qid", "search_query", "search_location_id", "search_category", F.size("relevant_items").cast("long").alias("relevant"), F.element_at("relevant_items", 1).alias("first"))
+
+
+@query("SELECT (SELECT count(*) FROM units) AS units, (SELECT count(*) FROM past) AS history, 0::BIGINT AS leaked")
+def evaluation_cold_split(w):
+    evaluation.assert_cold(w.units, w.past)
+    evaluation.assert_folds(w.past, [2, 3])
+    one = w.units.agg(F.count(F.lit(1)).alias("units")).join(F.broadcast(w.past.agg(F.count(F.lit(1)).alias("history"))))
+    return one.withColumn("leaked", F.lit(evaluation.leaked_texts(w.units, w.past)).cast("long"))
+
+
+@query("SELECT qid FROM units ORDER BY sha256('fresh' || chr(30) || concat_ws(chr(31), search_query, search_location_id, search_is_delivery_search, search_infm_params_text, search_category)) LIMIT 15")
+def evaluation_sample(w):
+    """The first units by seeded hash: a sampling operator."""
+    return evaluation.sample_units(w.units, 15, "fresh").select("qid")
+
+
+@query("SELECT qid, hits, relevant, round(recall, 6) AS recall FROM recalls")
+def evaluation_recall(w):
+    r = evaluation.recalls(w.answered(), w.truth)
+    return r.select("qid", F.col("hits").cast("long").alias("hits"), F.col("relevant").cast("long").alias("relevant"), *r6("recall"))
+
+
+@query("SELECT count(*) AS queries, round(avg(recall), 6) AS recall FROM recalls")
+def evaluation_macro_recall(w):
+    return evaluation.macro_recall(evaluation.recalls(w.answered(), w.truth)).select("queries", *r6("recall"))
+
+
+@query("SELECT round(avg(coalesce(h, 0) / len(relevant_items)), 6) AS recall, count(*) AS queries FROM truth LEFT JOIN (SELECT qid, count(*) AS h FROM wide JOIN (SELECT qid, unnest(relevant_items) AS item_id FROM truth) USING (qid, item_id) GROUP BY qid) USING (qid)")
+def evaluation_oracle_recall(w):
+    """Recall if the best were chosen from all candidates."""
+    return evaluation.macro_recall(evaluation.recalls(w.wide(), w.truth)).select("queries", *r6("recall"))
+
+
+_BEFORE = "SELECT qid, len(relevant_items) AS n, coalesce(h, 0) / len(relevant_items) AS recall FROM truth LEFT JOIN (SELECT qid, count(*) AS h FROM (SELECT * FROM word_top WHERE rank <= 50) JOIN (SELECT qid, unnest(relevant_items) AS item_id FROM truth) USING (qid, item_id) GROUP BY qid) USING (qid)"
+
+
+def _compared(w: World) -> DataFrame:
+    before = evaluation.recalls(lexical.nearest(w.index.query_words(w.queries), w.index.word_postings, 50), w.truth)
+    return evaluation.comparison(before, evaluation.recalls(w.answered(), w.truth))
+
+
+@query("SELECT count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties, round(avg(d), 6) AS mean_delta FROM (SELECT a.recall - b.recall AS d FROM recalls a JOIN plain b USING (qid))", plain=_BEFORE)
+def evaluation_wins_losses(w):
+    return evaluation.wins_losses(_compared(w)).select("wins", "losses", "ties", *r6("mean_delta"))
+
+
+@query(
+    f"""SELECT slice, count(*) FILTER (hit) AS queries, round(coalesce(avg(recall) FILTER (hit), 0), 6) AS mean FROM (SELECT recall, unnest([
+    struct_pack(slice := 'filter_empty', hit := p = ''), struct_pack(slice := 'filter_present', hit := p <> ''), struct_pack(slice := 'category_global', hit := search_category = 0), struct_pack(slice := 'category_scoped', hit := search_category <> 0),
+    struct_pack(slice := 'query_one_token', hit := k <= 1), struct_pack(slice := 'query_multi_token', hit := k > 1), struct_pack(slice := 'location_rare', hit := n < half), struct_pack(slice := 'location_common', hit := n >= half),
+    struct_pack(slice := 'relevant_all_history_seen', hit := seen), struct_pack(slice := 'relevant_has_unseen', hit := NOT seen), struct_pack(slice := 'relevant_all_exact_location', hit := here), struct_pack(slice := 'relevant_has_cross_location', hit := NOT here)], recursive := true)
+    FROM (SELECT r.recall, {norm('search_infm_params_text')} AS p, search_category, len({words(norm('search_query'))}) AS k, coalesce(l.n, 0) AS n, (SELECT median(n) FROM (SELECT count(*) AS n FROM past GROUP BY search_location_id)) AS half,
+      (SELECT bool_and(x IN (SELECT item_id FROM past)) FROM unnest(relevant_items) t(x)) AS seen, (SELECT bool_and(coalesce(i.item_location_id = q.search_location_id, false)) FROM unnest(relevant_items) t(x) LEFT JOIN items i ON i.item_id = x) AS here
+      FROM recalls r JOIN queries q USING (qid) JOIN truth USING (qid) LEFT JOIN (SELECT search_location_id, count(*) AS n FROM past GROUP BY ALL) l USING (search_location_id))) GROUP BY slice"""
+)
+def evaluation_slices(w):
+    units = w.queries.join(w.truth, "qid")
+    got = evaluation.slice_means(evaluation.recalls(w.answered(), w.truth), evaluation.unit_slices(units, w.past, w.items))
+    return got.select("slice", "queries", *r6("mean"))
+
+
+_GRID = {"char": [0.55, 0.8], "location": [0.1, 0.7], "category": [0.05]}
+
+
+def _grid_sql() -> str:
+    trials = evaluation.grid({"word": 1.0, "history": 0.25}, _GRID)
+    rows = ", ".join(f"({k}, {t['word']}, {t['char']}, {t['history']}, {t['location']}, {t['category']})" for k, t in enumerate(trials))
+    return f"""SELECT trial::INT AS trial, round(sum(coalesce(h, 0) / len(relevant_items)) / count(*), 6) AS recall FROM (VALUES {rows}) g(trial, a, b, c, d, e), truth
+        LEFT JOIN (SELECT trial AS t2, qid AS q2, count(*) AS h FROM (SELECT trial, qid, item_id FROM wide, (VALUES {rows}) g(trial, a, b, c, d, e) QUALIFY row_number() OVER (PARTITION BY trial, qid ORDER BY round(a * word + b * char + c * history + d * location + e * category, 9) DESC, item_id) <= 50)
+        JOIN (SELECT qid, unnest(relevant_items) AS item_id FROM truth) USING (qid, item_id) GROUP BY ALL) ON t2 = trial AND q2 = qid GROUP BY trial"""
+
+
+@query(_grid_sql())
+def evaluation_grid(w):
+    """Every weighting of a grid in one pass over the candidates."""
+    trials = evaluation.grid({"word": 1.0, "history": 0.25}, _GRID)
+    got = evaluation.grid_recalls(w.wide(), w.truth, trials, ["word", "char", "history", "location", "category"])
+    return got.select("trial", *r6("recall"))
+
+
+@query()
+def evaluation_coordinate_tuning(w):
+    """One pass of tuning with a slice guard; the trials as a table."""
+    units = w.queries.join(w.truth, "qid")
+    slices = evaluation.unit_slices(units, w.past, w.items).select("qid", "category_global", "category_scoped")
+    tuned = evaluation.coordinate_tune(w.wide(), w.truth, slices, candidates.Settings(), {"exact_rescore": [False, True], "weight:location": [0.06, 0.7]}, passes=1, least=5)
+    return w.spark.createDataFrame([(t["pass"], t["parameter"], str(t["value"]), t["recall"], t["eligible"], t["floor"]) for t in tuned.trials], "pass int, parameter string, value string, recall double, eligible boolean, floor double")
+
+
+@query()
+def evaluation_bootstrap(w):
+    """Intervals of the gain: paired by query, and by clusters of query texts."""
+    compared = _compared(w).join(w.queries.select("qid", "search_query"), "qid").cache()
+    deltas = sorted(r["delta"] for r in compared.select("delta").collect())  # at most the evaluated queries
+    import numpy as np
+
+    low, high = evaluation.paired_bootstrap(np.array(deltas))
+    sums = evaluation.cluster_sums(compared, text.normalize_text(F.col("search_query")))
+    c_low, c_high = evaluation.cluster_bootstrap([sums], 500)
+    p_low, p_high = evaluation.cluster_bootstrap([sums[::2], sums[1::2]], 500)
+    return w.spark.createDataFrame([("paired", low, high), ("cluster", c_low, c_high), ("pooled", p_low, p_high)], "kind string, low double, high double")
+
+
+@query()
+def evaluation_gate(w):
+    row = evaluation.wins_losses(_compared(w)).first()
+    checks = evaluation.gate([row["mean_delta"]], row["mean_delta"], 0.001, {}, evaluation.missing_candidates(w.answered(), w.wide()) == 0, True)
+    return w.spark.createDataFrame(sorted(checks.items()), "check string, passed boolean")
+
+
+@query("SELECT sha256(string_agg(h, chr(10) ORDER BY h)) AS sha256, count(*) AS rows FROM (SELECT sha256(concat_ws(chr(31), qid, search_query, CAST(search_category AS VARCHAR))) AS h FROM units)")
+def evaluation_unit_hash(w):
+    return evaluation.ordered_hash(w.units, ["qid", "search_query", "search_category"])
+
+
+@query("SELECT count(*) AS missing FROM (SELECT qid, item_id FROM answered WHERE (qid, item_id) NOT IN (SELECT qid, item_id FROM scored))")
+def evaluation_subset_check(w):
+    return w.spark.range(1).select(F.lit(evaluation.missing_candidates(w.answered(), w.scored())).cast("long").alias("missing"))
+
+
+@query("SELECT search_location_id, count(*) AS n, (SELECT median(n) FROM (SELECT count(*) AS n FROM past GROUP BY search_location_id)) AS median FROM past GROUP BY search_location_id")
+def evaluation_location_counts(w):
+    n = w.past.groupBy("search_location_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(n.agg(F.median("n").alias("median"))))  # one row
+
+
+# audits --------------------------------------------------------------------------
+
+
+@query("SELECT 'item_price' AS column, count(*) FILTER (item_price IS NULL) AS nulls FROM items UNION ALL SELECT 'item_rating', count(*) FILTER (item_rating IS NULL) FROM items")
+def audit_nulls(w):
+    return validation.null_counts(w.items)
+
+
+@query(
+    """SELECT (SELECT count(*) - count(DISTINCT qid) FROM queries) AS duplicate_query_id, 0::BIGINT AS invalid_query_id, (SELECT count(*) - count(DISTINCT item_id) FROM items) AS duplicate_item_id, 0::BIGINT AS invalid_item_id,
+    (SELECT count(DISTINCT item_id) FROM items) AS unique_items, 0::BIGINT AS invalid_train_item_id, (SELECT count(DISTINCT item_id) FROM train) AS unique_train_items, (SELECT count(DISTINCT item_id) FROM train WHERE item_id IN (SELECT item_id FROM items)) AS item_overlap"""
+)
+def audit_ids(w):
+    return validation.id_audit(w.train, w.queries.withColumnRenamed("qid", "query_id"), w.items)
+
+
+@query(
+    """SELECT (SELECT count(DISTINCT qid) FROM answered) AS rows, 0::BIGINT AS duplicate_queries, 0::BIGINT AS invalid_query_ids, 0::BIGINT AS invalid_separator, 0::BIGINT AS over_limit, 0::BIGINT AS duplicate_items, 0::BIGINT AS invalid_items,
+    0::BIGINT AS empty_answers, 50 AS max_items, 0::BIGINT AS unknown_items, 0::BIGINT AS missing_queries, 0::BIGINT AS unexpected_queries, (SELECT count(*) FROM queries) AS expected_rows"""
+)
+def audit_answer(w):
+    answer = sources.answer_rows(w.answered()).withColumnRenamed("qid", "query_id")
+    return validation.answer_counts(answer, w.queries.withColumnRenamed("qid", "query_id"), w.items)
+
+
+@query("SELECT item_id, item_category_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY item_category_id) AS k FROM (SELECT item_id, item_category_id FROM train)) WHERE k = 1")
+def deduplicated_items(w):
+    """The first row of each id in a stated order."""
+    t = w.train.select("item_id", "item_category_id")
+    return t.groupBy("item_id").agg(F.min("item_category_id").alias("item_category_id"))
+
+
+# streaming -----------------------------------------------------------------------
+
+
+@query(_RANKED + "(" + top("word_top", 10, tie="item_id").replace("SELECT *, row_number()", "SELECT qid, item_id, score, row_number()") + ")")
+def streaming_search(w):
+    """Queries as a stream over the static word index."""
+    path = _scratch(w, "stream")
+    w.queries.write.parquet(f"{path}/in")
+    stream = w.spark.readStream.schema(w.queries.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    found = lambda frame: _ranked(lexical.nearest(w.index.query_words(frame), w.index.word_postings, 10))
+    running = search_stream(stream, found, lambda frame, number: frame.write.mode("overwrite").parquet(f"{path}/out/batch={number}"), f"{path}/checkpoint")
+    if not running.awaitTermination(600):
+        running.stop()
+        raise TimeoutError("the stream did not end")
+    return w.spark.read.parquet(f"{path}/out").drop("batch")
+
+
+FLAGSHIP = "lexical_word_topk"
