@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +39,15 @@ class World:
         self.spark, self.sf_dir = spark, sf_dir
         self.items, self.queries, self.train = fixtures.items(spark, sf_dir), fixtures.queries(spark, sf_dir), fixtures.train(spark, sf_dir)
         self.vectors, self.query_vectors = fixtures.vectors(spark, sf_dir), fixtures.query_vectors(spark, sf_dir)
-        self.index = Index(self.items, Limits())
+        self.index = Index(self.items, Limits(), self.keep)
         self.log = Behavior(self.index, self.train)
 
+    def keep(self, frame: DataFrame, name: str) -> DataFrame:
+        """frame as a written table, as a search service holds its index."""
+        path = _scratch(self, name)
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
     @property
     def units(self) -> DataFrame:
         u = evaluation.query_units(self.train, 2)
@@ -52,29 +58,37 @@ class World:
     def past(self) -> DataFrame:
         return evaluation.history_without(self.train, [2, 3])
 
-    @property
+    @cached_property
     def truth(self) -> DataFrame:
         t = self.train.select("search_location_id", "search_category", "item_id").distinct()
-        return self.queries.select("qid", "search_location_id", "search_category").join(t, ["search_location_id", "search_category"]).groupBy("qid").agg(F.sort_array(F.collect_set("item_id")).alias("relevant_items"))
+        found = self.queries.select("qid", "search_location_id", "search_category").join(t, ["search_location_id", "search_category"])
+        return self.keep(found.groupBy("qid").agg(F.sort_array(F.collect_set("item_id")).alias("relevant_items")), "truth")
 
-    @property
+    @cached_property
     def near16(self) -> DataFrame:
-        return self.log.near_keys(self.queries, self.log.microcats, 16)
+        return self.keep(self.log.near_keys(self.queries, self.log.microcats, 16), "near")
 
-    @property
+    @cached_property
     def dense_top(self) -> DataFrame:
-        return dense.global_top(self.query_vectors, self.vectors, 100)
+        return self.keep(dense.global_top(self.query_vectors, self.vectors, 100), "dense")
 
     @property
     def dense_local(self) -> DataFrame:
         return dense.local_top(self.query_vectors, self.vectors, 20)
 
-    @lru_cache(maxsize=1)
+    @cached_property
+    def _wide(self) -> DataFrame:
+        return self.keep(improved_features(self.queries, self.index, self.log), "wide")
+
+    @cached_property
+    def _scored(self) -> DataFrame:
+        return self.keep(candidates.scored(self._wide, SELECTED), "scored")
+
     def wide(self) -> DataFrame:
-        return improved_features(self.queries, self.index, self.log).cache()
+        return self._wide
 
     def scored(self) -> DataFrame:
-        return candidates.scored(self.wide(), SELECTED)
+        return self._scored
 
     def answered(self) -> DataFrame:
         return candidates.answers(self.scored(), self.queries, self.items)
@@ -678,12 +692,12 @@ def feature_training_sample(w):
 
 def _prepared(w: World) -> DataFrame:
     """All 47 features of the eligible rows."""
-    rows = features.row_matrix(w.locality_rows())
+    rows = w.keep(features.row_matrix(w.locality_rows()), "rows")
     meta = features.metadata(rows, w.queries, w.items, features.location_centers(w.items))
     terms = w.index.query_words(w.queries).select(F.col("doc").alias("qid"), "term").join(w.index.vocabulary.select("term", "idf"), "term")
     cover = lexical.coverage(rows, terms, w.index.word_postings, w.index.title_postings)
     size = lexical.vocabulary_sizes(w.index.word_postings, w.items).select("item_id", lexical.length_norm(F.col("nnz"), F.col("median")).alias("word_vocab_bm25_length_norm"))
-    return rows.join(meta, ["qid", "item_id"]).join(cover, ["qid", "item_id"]).join(size, "item_id")
+    return w.keep(rows.join(meta, ["qid", "item_id"]).join(cover, ["qid", "item_id"]).join(size, "item_id"), "prepared")
 
 
 @query("SELECT count(*) AS rows, count(DISTINCT qid) AS queries, round(sum(base_score), 3) AS base FROM scored")
@@ -806,7 +820,7 @@ def evaluation_coordinate_tuning(w):
 @query()
 def evaluation_bootstrap(w):
     """Intervals of the gain: paired by query, and by clusters of query texts."""
-    compared = _compared(w).join(w.queries.select("qid", "search_query"), "qid").cache()
+    compared = w.keep(_compared(w).join(w.queries.select("qid", "search_query"), "qid"), "compared")
     deltas = sorted(r["delta"] for r in compared.select("delta").collect())  # at most the evaluated queries
     import numpy as np
 

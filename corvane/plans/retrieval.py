@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -28,11 +29,22 @@ class Limits:
     unicode: bool = True
 
 
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def in_memory(frame: DataFrame, name: str) -> DataFrame:
+    return frame.cache()
+
+
 class Index:
-    """Posting tables of a catalog. Tables are lazy; write or cache them to use them more than once."""
+    """Posting tables of a catalog, made when first asked for.
+
+    `keep` holds a table that is used more than once; a service passes one that
+    writes it, which also keeps the plans of later queries short.
+    """
 
-    def __init__(self, items: DataFrame, limits: Limits = Limits()) -> None:
-        self.items, self.limits = items, limits
+    def __init__(self, items: DataFrame, limits: Limits = Limits(), keep: Keep = in_memory) -> None:
+        self.items, self.limits, self.keep = items, limits, keep
 
     def norm(self, c: str):
         return text.normalize_text(F.col(c), self.limits.unicode)
@@ -56,35 +68,35 @@ class Index:
 
     @cached_property
     def word_counts(self) -> DataFrame:
-        return self.words(self.fields, "item_id", text.item_word_document(F.col("title"), F.col("params"), F.col("description"))).cache()
+        return self.keep(self.words(self.fields, "item_id", text.item_word_document(F.col("title"), F.col("params"), F.col("description"))), "word-counts")
 
     @cached_property
     def char_counts(self) -> DataFrame:
-        return self.chars(self.fields, "item_id", F.col("title")).cache()
+        return self.keep(self.chars(self.fields, "item_id", F.col("title")), "char-counts")
 
     @cached_property
     def vocabulary(self) -> DataFrame:
-        return lexical.vocabulary(self.word_counts, self.size, self.limits.min_df, self.limits.words).cache()
+        return self.keep(lexical.vocabulary(self.word_counts, self.size, self.limits.min_df, self.limits.words), "vocabulary")
 
     @cached_property
     def char_vocabulary(self) -> DataFrame:
-        return lexical.vocabulary(self.char_counts, self.size, self.limits.min_df, self.limits.chars).cache()
+        return self.keep(lexical.vocabulary(self.char_counts, self.size, self.limits.min_df, self.limits.chars), "char-vocabulary")
 
     @cached_property
     def word_postings(self) -> DataFrame:
-        return lexical.postings(self.word_counts, self.vocabulary)
+        return self.keep(lexical.postings(self.word_counts, self.vocabulary), "word-postings")
 
     @cached_property
     def char_postings(self) -> DataFrame:
-        return lexical.postings(self.char_counts, self.char_vocabulary)
+        return self.keep(lexical.postings(self.char_counts, self.char_vocabulary), "char-postings")
 
     @cached_property
     def filter_postings(self) -> DataFrame:
-        return lexical.postings(self.words(self.fields, "item_id", text.item_filter_document(F.col("params"))), self.vocabulary)
+        return self.keep(lexical.postings(self.words(self.fields, "item_id", text.item_filter_document(F.col("params"))), self.vocabulary), "filter-postings")
 
     @cached_property
     def title_postings(self) -> DataFrame:
-        return lexical.postings(self.words(self.fields, "item_id", F.col("title")), self.vocabulary)
+        return self.keep(lexical.postings(self.words(self.fields, "item_id", F.col("title")), self.vocabulary), "title-postings")
 
     @cached_property
     def locations(self) -> DataFrame:
@@ -111,30 +123,30 @@ class Behavior:
 
     @cached_property
     def category_prior(self) -> DataFrame:
-        return behavior.pair_prior(self.train, "search_category", "item_category_id")
+        return self.index.keep(behavior.pair_prior(self.train, "search_category", "item_category_id"), "category-prior")
 
     @cached_property
     def location_prior(self) -> DataFrame:
-        return behavior.pair_prior(self.train, "search_location_id", "item_location_id")
+        return self.index.keep(behavior.pair_prior(self.train, "search_location_id", "item_location_id"), "location-prior")
 
     def locations(self, queries: DataFrame, limit: int) -> DataFrame:
         return behavior.query_locations(queries, behavior.compatible_locations(self.location_prior, limit))
 
     @cached_property
     def popularity(self) -> DataFrame:
-        return behavior.popularity(self.index.items, self.train)
+        return self.index.keep(behavior.popularity(self.index.items, self.train), "popularity")
 
     @cached_property
     def fallback(self) -> DataFrame:
-        return behavior.fallback(self.popularity, self.limits.fallback, self.limits.top_k)
+        return self.index.keep(behavior.fallback(self.popularity, self.limits.fallback, self.limits.top_k), "fallback")
 
     @cached_property
     def history(self) -> DataFrame:
-        return behavior.history(self.train, self.index.items, self.limits.history_items).cache()
+        return self.index.keep(behavior.history(self.train, self.index.items, self.limits.history_items), "history")
 
     @cached_property
     def microcats(self) -> DataFrame:
-        return behavior.microcat_distribution(self.train).cache()
+        return self.index.keep(behavior.microcat_distribution(self.train), "microcats")
 
     def key_postings(self, keys: DataFrame) -> DataFrame:
         return lexical.postings(self.index.words(keys.select("key").distinct(), "key", F.col("key")), self.index.vocabulary)
@@ -172,7 +184,7 @@ def legacy_features(queries: DataFrame, index: Index, log: Behavior) -> DataFram
 def improved_features(queries: DataFrame, index: Index, log: Behavior, dense: DataFrame | None = None) -> DataFrame:
     """One wide row per candidate of the largest pool: twelve values, ranks per source, exact similarities and transfer."""
     n = index.limits.pool
-    words, chars, filters = index.query_words(queries).cache(), index.query_chars(queries).cache(), index.query_filters(queries)
+    words, chars, filters = (index.keep(q, name) for q, name in ((index.query_words(queries), "query-words"), (index.query_chars(queries), "query-chars"), (index.query_filters(queries), "query-filters")))
     parts = [
         candidates.channel(lexical.nearest(words, index.word_postings, n), "word", "global_word_rank"),
         candidates.channel(lexical.nearest(chars, index.char_postings, n), "char", "global_char_rank"),
@@ -189,7 +201,8 @@ def improved_features(queries: DataFrame, index: Index, log: Behavior, dense: Da
     parts.append(candidates.channel(spare.where("score > 0"), "popularity", "fallback_source"))
     if dense is not None:
         parts.append(candidates.marker(dense, "dense_source"))
-    rows = candidates.merged(parts, candidates.VALUES, [*sources, *candidates.ALWAYS]).cache()
+    rows = candidates.merged(parts, candidates.VALUES, [*sources, *candidates.ALWAYS])
+    rows = index.keep(rows, "candidates")
     exact = {"exact_word": (words, index.word_postings), "exact_char": (chars, index.char_postings), "exact_filter": (filters, index.filter_postings), "title": (words, index.title_postings)}
     out = candidates.with_priors(rows, queries, index.items, log.category_prior, log.location_prior)
     for name, (q, i) in exact.items():
