@@ -29,8 +29,8 @@ from .common import NOT_WS, WS, sized, written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-#: Tokens of a block; documents of a shard, and shards of a source at most.
-BLOCK = 4
+#: Tokens of a block (it divides every cap of twice a size); documents of a shard, and shards of a source at most.
+BLOCK = 2
 SHARD_ROWS = 4_000
 MOST_SHARDS = 8_192
 SEED = 17
@@ -45,7 +45,10 @@ def word_count(text: Column) -> Column:
 def apportioned(parties: DataFrame, keys: list[str], weight: str, cap: str, seats: str) -> DataFrame:
     """parties with column `quota`: the seats of each group of keys, by highest quotients weight / (2 * k + 1) below the caps.
 
-    parties needs a column `party` that is unique within keys and orders ties.
+    parties needs a column `party` that is unique within keys and orders ties,
+    and no cap may be more than one below the party's even share of the seats
+    (targets() fills up to the caps before), else the band of quotients is too
+    narrow. Seats that no cap leaves room for stay unused.
     """
     of = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     x = parties.withColumn("__w", F.sum(weight).over(of)).withColumn("__n", F.count(F.lit(1)).over(of))

@@ -15,6 +15,8 @@ shard come from two-level running sums, so no task holds a shard.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +36,12 @@ def _hash(seed: int, *cols) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 1)
 
 
-def _settled(units: DataFrame, votes: DataFrame, capacity: int, shards: int, seed: int) -> DataFrame:
-    """unit, shard for each group that finds a shard with room. units: unit, rows; votes: unit, at, n."""
-    room = dict.fromkeys(range(shards), capacity)
+def _settled(units: DataFrame, votes: DataFrame, room: dict[int, int], shards: int, seed: int) -> DataFrame:
+    """unit, shard for each group that finds a shard with room, of which it takes its part. units: unit, rows; votes: unit, at, n."""
     done: DataFrame | None = None
     left, n = units, units.count()
     for _ in range(ROUNDS):
-        if not n:
+        if not n or not any(v > 0 for v in room.values()):
             break
         # every shard with room may attract; without neighbours there it has no votes
         free = F.array(*[F.struct(F.lit(k).alias("at"), F.lit(v).cast("long").alias("room")) for k, v in room.items() if v > 0])
@@ -83,7 +84,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     rows = written(rows.withColumn("h", _hash(seed, "doc_id", "text_crc32", "size")), "rows")
     total = rows.count()
     capacity = total // shards
-    part = max(1, capacity * 9 // 10)
+    part = max(1, capacity - 4 * math.isqrt(capacity))  # parts are dealt by hash, and so vary by a root
     groups = rows.where("group is not null").groupBy("group").count().where("count > 1")
     groups = written(groups.select(F.col("group").alias("__group"), F.when(F.col("count") <= capacity, 1).otherwise(F.ceil(F.col("count") / part)).cast("long").alias("__parts")), "groups")
     linked = rows.join(sized(groups), F.col("group") == F.col("__group"), "left")
@@ -91,7 +92,10 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     linked = written(linked.select("doc_id", "size", "text_crc32", "h", unit.alias("unit")), "linked")
     votes = written(linked.where("unit is not null").groupBy("unit", F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id"), F.lit(shards)).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n")), "votes")
     units = written(votes.groupBy("unit").agg(F.sum("n").alias("rows")), "units")
-    settled = _settled(units, votes, capacity, shards, seed)
+    # groups that take much of a shard choose before shards fill up
+    room = dict.fromkeys(range(shards), capacity)
+    large = F.col("rows") * 16 > capacity
+    settled = _settled(units.where(large), votes, room, shards, seed).union(_settled(units.where(~large), votes, room, shards, seed))
     settled = sized(written(settled.select(F.col("unit").alias("__unit"), F.col("shard").cast("int").alias("home")), "homes"))
     x = linked.join(settled, F.col("unit") == F.col("__unit"), "left").select("doc_id", "size", "text_crc32", "h", "home")
     x = written(x, "homed")
