@@ -7,10 +7,11 @@ or 2) is kept in unary (00, 01, 11), so a vector is one long and a Manhattan
 distance is the popcount of an exclusive or.
 
 The range-join within distance d works on grids of cell side one: the 32
-coordinates are dealt to d + 2 groups, and vectors within distance d agree
-entirely on at least two groups. For each pair of groups, equal coordinates
+coordinates are dealt to d + k groups, and vectors within distance d agree
+entirely on at least k groups. For each choice of k groups, equal coordinates
 there make a cell, so every link shares a cell in at least one of the grids,
-and the join is an equi-join on cells. Within a cell the Manhattan bound is
+and the join is an equi-join on cells. k is 2, and more for very many
+fingerprints, so cells stay small; the links are the same for every k. Within a cell the Manhattan bound is
 tested, then the exact Hamming distance. A cell gives a spanning forest of its
 links, never all its pairs. Cells beyond `block` fingerprints are dealt to
 tiles of two blocks each, so a hot cell is spread over many tasks and no task
@@ -74,13 +75,18 @@ def embedded(fp: Column) -> Column:
     return F.shiftleft(fp.bitwiseAND(odd).bitwiseAND(low), 1).bitwiseOR(fp.bitwiseOR(odd).bitwiseAND(low))
 
 
-def grids(distance: int) -> list[int]:
-    """Masks of the coordinates of each pair of groups; the coordinates are dealt to distance + 2 groups."""
-    n = distance + 2
+def grids(distance: int, agree: int = 2) -> list[int]:
+    """Masks of the coordinates of each choice of `agree` groups; the coordinates are dealt to distance + agree groups."""
+    n = distance + agree
     if n > 32:
-        raise ValueError("the distance must be at most 30")
+        raise ValueError("distance and agreeing groups must be at most 32 together")
     groups = [sum(0b11 << (2 * s) for s in range(g, 32, n)) for g in range(n)]
-    return [a | b for a, b in combinations(groups, 2)]
+    return [sum(chosen) for chosen in combinations(groups, agree)]
+
+
+def agreeing(points: int) -> int:
+    """Groups that a cell holds: more make more grids of smaller cells. Every choice finds the same links."""
+    return 2 if points <= 5_000_000 else 3 if points <= 500_000_000 else 4
 
 
 class _Forest:
@@ -184,14 +190,14 @@ def _cells(distance: int):
     return joined
 
 
-def near_links(points: DataFrame, distance: int = 4, block: int = 4096) -> DataFrame:
+def near_links(points: DataFrame, distance: int = 4, block: int = 4096, agree: int | None = None) -> DataFrame:
     """a, b: links that connect exactly what fingerprints within the distance connect.
 
-    points: fp, node, one row per fingerprint. Each row is sent once to each of
-    the (distance + 2)(distance + 1) / 2 grids.
+    points: fp, node, one row per fingerprint. Each row is sent once to each
+    grid: 15 for distance 4 and two agreeing groups.
     """
     t = embedded(F.col("fp"))
-    masks = grids(distance)
+    masks = grids(distance, agree or agreeing(points.count()))
     cells = points.withColumn("t", t).select("fp", "t", "node", F.posexplode(F.array(*[F.col("t").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("grid", "at"))
     cells = cells.select("fp", "t", "node", F.xxhash64("grid", "at").alias("cell"))
     hot = written(cells.groupBy("cell").count().where(F.col("count") > block).select(F.col("cell").alias("hot"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), "hot")

@@ -192,8 +192,8 @@ def test_fingerprints_and_components_of_odd_rows(odd):
     assert got == sorted(expected, key=str)
 
 
-@pytest.mark.parametrize("distance,block", [(4, 4096), (4, 16), (2, 4096), (6, 50)])
-def test_links_connect_what_brute_force_connects(spark, distance, block):
+@pytest.mark.parametrize("distance,block,agree", [(4, 4096, None), (4, 16, None), (2, 4096, 3), (6, 50, 2), (4, 64, 3)])
+def test_links_connect_what_brute_force_connects(spark, distance, block, agree):
     r = random.Random(distance)
     fps = set()
     for _ in range(25):
@@ -208,7 +208,7 @@ def test_links_connect_what_brute_force_connects(spark, distance, block):
     fps |= {dense_ball ^ (1 << a) ^ (1 << b) for a in range(0, 30, 2) for b in range(1, 30, 3)}
     rows = list(enumerate(sorted(fps)))
     points = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in rows], "fp long, node long")
-    links = simhash.near_links(points, distance, block)
+    links = simhash.near_links(points, distance, block, agree)
     got = dict(rows_of(components(links)))
     expected = brute_components(rows, distance)
     assert [got.get(i, i) for i, _ in rows] == expected
