@@ -30,7 +30,7 @@ END_ID = 1
 SHARD_PIECES = 2_500
 OPEN_BINS = 1_024
 #: Words whose ids a task remembers in each of two generations.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 
 class WordIds(dict):
