@@ -6,7 +6,6 @@ search service does, and shared by the queries that use them.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import cached_property, lru_cache
 
@@ -44,9 +43,7 @@ class World:
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         """frame as a written table, as a search service holds its index."""
-        path = _scratch(self, name)
-        frame.write.parquet(path)
-        return self.spark.read.schema(frame.schema).parquet(path)
+        return sources.written(frame, name)
 
     @property
     def units(self) -> DataFrame:
@@ -158,19 +155,7 @@ def projected_ids(w):
 
 
 def _scratch(w: World, name: str) -> str:
-    """A folder that driver and executors share."""
-    spark = w.spark
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if at.isEmpty():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-            at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = at.get()
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
+    return sources.scratch(w.spark, name)
 
 
 @query("SELECT qid AS query_id, string_agg(item_id, ' ' ORDER BY rank) AS answer FROM answered GROUP BY qid")

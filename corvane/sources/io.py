@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
@@ -94,6 +95,27 @@ def source_fingerprint(package: str) -> str:
     return h.hexdigest()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; its files go when the driver's JVM ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        context = spark.sparkContext._jsc.sc()
+        if context.getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        root = context.getCheckpointDir().get()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """frame as a written table, which is computed once and keeps later plans short."""
+    path = scratch(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def cached(spark: SparkSession, root: str, key: object, name: str, build: Callable[[], DataFrame], columns: list[str] | None = None) -> DataFrame:
     """The table `name` under root for a key, built once.
 
