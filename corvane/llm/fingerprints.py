@@ -133,8 +133,8 @@ def mixed_digests(docs: DataFrame, digests: DataFrame, bits: int = 128) -> DataF
 
     docs: doc_id, text; digests: doc_id, fingerprint.
     """
-    shared = digests.groupBy(F.col("fingerprint").alias("f")).count().where("count > 1").select("f")
-    ids = written(digests.join(shared, F.col("fingerprint") == F.col("f"), "left_semi").select(F.col("doc_id").alias("id")).distinct(), "shared")
+    shared = written(digests.groupBy(F.col("fingerprint").alias("f")).count().where("count > 1").select("f"), "shared-digests")
+    ids = written(digests.join(sized(shared), F.col("fingerprint") == F.col("f"), "left_semi").select(F.col("doc_id").alias("id")).distinct(), "shared")
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
     slots = F.broadcast(ids.select(slot(F.col("id")).alias("slot")).distinct())  # at most SLOTS rows
     some = docs.join(slots, slot(F.col("doc_id")) == F.col("slot"), "left_semi")
