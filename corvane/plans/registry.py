@@ -200,7 +200,7 @@ def cached_table(w):
 @query(f"SELECT doc_id, {norm('text')} AS normalized FROM documents")
 def text_normalize(w):
     d = w.spark.read.parquet(f"{w.sf_dir}/documents.parquet")
-    return d.select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
+    return sources.spread(d.select("doc_id", "text")).select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
 
 
 @query(f"SELECT doc_id, len({words(norm('text'))}) AS tokens, {words(norm('text'))}[1] AS first, {words(norm('text'))}[-1] AS last FROM documents")

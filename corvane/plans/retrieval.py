@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import behavior, candidates, lexical
+from ..sources.io import spread
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,8 @@ class Index:
 
     @cached_property
     def fields(self) -> DataFrame:
-        return self.items.select("item_id", "item_location_id", self.norm("item_title_raw").alias("title"), self.norm("item_infm_params_text").alias("params"), self.norm("item_description_raw").alias("description"))
+        raw = spread(self.items.select("item_id", "item_location_id", "item_title_raw", "item_infm_params_text", "item_description_raw"))
+        return self.keep(raw.select("item_id", "item_location_id", self.norm("item_title_raw").alias("title"), self.norm("item_infm_params_text").alias("params"), self.norm("item_description_raw").alias("description")), "fields")
 
     def words(self, docs: DataFrame, id_: str, document) -> DataFrame:
         """doc, term, tf of word grams."""

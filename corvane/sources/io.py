@@ -116,6 +116,12 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """frame over at least as many partitions as there are cores: a few small files would leave most of them idle. Larger inputs stay as they are."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def cached(spark: SparkSession, root: str, key: object, name: str, build: Callable[[], DataFrame], columns: list[str] | None = None) -> DataFrame:
     """The table `name` under root for a key, built once.
 
