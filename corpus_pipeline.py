@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import exact_dedup, mixing, packing, quality, simhash
+from corvane.llm import exact_dedup, mixing, near_copies, packing, quality
 from corvane.llm.common import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,8 +27,8 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near fingerprints."""
-    return simhash.without_near_duplicates(docs)
+    """One document of each component of texts whose five-word shingles have a similarity of 0.8 or more."""
+    return near_copies.without_near_copies(docs)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -240,6 +240,49 @@ def test_components_of_chains(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_near_copies_are_what_five_word_shingles_say(spark):
+    """Pairs of a similarity of 0.8 and more are linked, most of them beyond op3's four bits; pairs below it are not."""
+    from corvane.llm import near_copies
+
+    r = random.Random(5)
+    texts = []
+    for k in range(120):
+        words = [r.choice(WORDS) for _ in range(200)]
+        texts.append(" ".join(words))
+        for p in r.sample(range(10, 190), (0, 2, 4, 6, 12)[k % 5]):
+            words[p] = "changed"
+        texts.append(" ".join(words))
+    texts += ["a few words", "A few  words", "", None, text_of(3, 20_000)]
+    docs = spark.createDataFrame([(k, t, "en", "src1", 1) for k, t in enumerate(texts)], DOCS).repartition(3)
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 60
+    for block in (1024, 1):
+        left = {row["doc_id"] for row in near_copies.without_near_copies(docs, block=block).collect()}
+        assert left == {*range(len(texts))} - {b for _, b in pairs}
+
+
+def test_a_large_group_of_near_copies_is_one(spark):
+    """All are near the first, and few near each other."""
+    from corvane.llm import near_copies
+
+    r = random.Random(6)
+    base = [r.choice(WORDS) for _ in range(150)]
+    texts = [" ".join(base)]
+    for k in range(300):
+        own = list(base)
+        for p in r.sample(range(5, 145), 2):
+            own[p] = f"own{k}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame([(k, t, "en", "src1", 1) for k, t in enumerate(texts)], DOCS)
+    assert [row["doc_id"] for row in near_copies.without_near_copies(docs, block=64).collect()] == [0]
+
+
 # 4 ---------------------------------------------------------------------------
 
 

@@ -48,3 +48,17 @@ def test_each_stage_works_on_what_was_kept(spark):
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_stage_goes_by_five_word_similarity(spark):
+    """Of the pairs of 0.8 and more one document stays, however many bits their fingerprints differ in."""
+    docs = exact_dedup.without_duplicates(spark.read.parquet(f"{SF}/documents.parquet"))
+
+    def shingles(text):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {r["doc_id"]: shingles(r["text"]) for r in docs.collect()}
+    near = [(a, b) for b in sets for a in sets if a < b and sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    left = {r["doc_id"] for r in corpus_pipeline.unlike_documents(spark, docs, SF).collect()}
+    assert near and left == {*sets} - {b for _, b in near}
