@@ -811,8 +811,8 @@ def evaluation_bootstrap(w):
 
     low, high = evaluation.paired_bootstrap(np.array(deltas))
     sums = evaluation.cluster_sums(compared, text.normalize_text(F.col("search_query")))
-    c_low, c_high = evaluation.cluster_bootstrap([sums], 500)
-    p_low, p_high = evaluation.cluster_bootstrap([sums[::2], sums[1::2]], 500)
+    c_low, c_high = evaluation.cluster_bootstrap([sums])
+    p_low, p_high = evaluation.cluster_bootstrap([sums[::2], sums[1::2]])
     return w.spark.createDataFrame([("paired", low, high), ("cluster", c_low, c_high), ("pooled", p_low, p_high)], "kind string, low double, high double")
 
 

@@ -283,3 +283,17 @@ def test_files_round_trip(spark, tmp_path, items):
     assert io.load_frames(spark, f"{tmp_path}/data").items.count() == 5
     with pytest.raises(ValueError, match="item_price"):
         schema.require_columns(items.drop("item_price"), schema.ITEM_COLUMNS, "items")
+
+
+def test_the_bootstrap_draws_as_often_as_the_reference(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from corvane.plans import registry
+
+    rows = spark.createDataFrame([(f"q{k}", f"text {k}", float(k % 3 - 1)) for k in range(12)], "qid string, search_query string, delta double")
+    drawn = []
+    monkeypatch.setattr(registry, "_compared", lambda w: rows.select("qid", "delta"))
+    monkeypatch.setattr(registry, "world", lambda spark, sf_dir: SimpleNamespace(spark=spark, queries=rows.select("qid", "search_query"), keep=lambda frame, name: frame))
+    monkeypatch.setattr(registry.evaluation, "cluster_bootstrap", lambda strata, draws=10_000, seed=0: drawn.append(draws) or (0.0, 0.0))
+    assert registry.QUERIES["evaluation_bootstrap"](spark, "").count() == 3
+    assert drawn == [10_000, 10_000]
