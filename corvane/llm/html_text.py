@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element names by what they do to text.
-RAW = {"script", "style", "noscript", "template", "iframe", "noembed", "noframes", "title", "textarea", "svg", "math", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "template", "iframe", "noembed", "noframes", "title", "textarea"}
 BREAKS = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
     "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol",
     "optgroup", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-SPACES = {"br", "wbr", "img", "input"}
+SPACES = {"br", "wbr", "img", "input", "noscript", "svg", "math", "object", "canvas", "audio", "video"}
 #: Elements that are kept on the stack of what is open.
 HELD = {"article", "main", "nav", "header", "footer", "aside", "form", "menu", "div", "section", "ul", "ol", "dl", "li", "table", "figure", "details", "dialog", "button", "select", "fieldset", "search"}
 BOILER = {"nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "search"}

@@ -567,6 +567,14 @@ def test_odd_pages(spark):
     assert html_text.extract(frame.limit(0)).count() == 0
 
 
+def test_embedded_elements_keep_their_words(spark):
+    names = ["object", "svg", "math", "canvas", "audio", "video", "noscript"]
+    pages = [(k, "u", f"<article><p>Before <{n}>inside words</{n}> after.</p><{n} class=x>open<p>The rest stays.</p></article>") for k, n in enumerate(names)]
+    pages.append((7, "u", "<article><p>Before <script>if (a) {}</script><style>p{}</style>after.</p></article>"))
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: "Before inside words after.\n\nopen\n\nThe rest stays." for k in range(7)} | {7: "Before after."}
+
+
 def test_the_tree_on_unseen_skeletons():
     x, y = html_text.labelled_blocks(8, seed=99)
     tree = html_text.trained()
