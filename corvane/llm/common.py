@@ -6,7 +6,6 @@ clashing names of the caller's tables never reach the plan.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 20_000
 #: Rows up to which a side that was counted is broadcast.
 BROADCAST_ROWS = 100_000
+#: Characters of text up to which a side with texts is broadcast.
+BROADCAST_CHARS = 16_000_000
 
 #: ASCII white space as the contracts define it.
 WS = r"[\x20\x09-\x0D]+"
@@ -25,21 +26,18 @@ NOT_WS = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset: the context's checkpoint folder, else a temporary
-    folder in local mode, else a folder in the warehouse.
+    Only where it is unset: the context's checkpoint folder, else a folder in
+    the session's warehouse.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     context = spark.sparkContext
     at = context._jsc.sc().getCheckpointDir()
-    if at.isDefined():
-        return at.get().rstrip("/")
-    if context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
-    else:
+    if not at.isDefined():
         context.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+        at = context._jsc.sc().getCheckpointDir()
+    return at.get().rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -62,6 +60,13 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def sized_by_bytes(df: DataFrame, texts: list[str]) -> DataFrame:
+    """sized() for rows with texts of any length: broadcast only if all of them together are small."""
+    lengths = F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in texts), F.lit(0)).cast("long"))
+    n, chars = df.agg(F.count(F.lit(1)), F.coalesce(lengths, F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and chars <= BROADCAST_CHARS else df
+
+
 def buckets_for(rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
     return max(1, -(-rows // per_bucket))
 
