@@ -1,11 +1,12 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
 Tokens are made where the text lies; only piece lengths travel. Pieces are dealt
-by hash to shards of bounded size, and each shard is packed by bounded-space
-online best-fit: a fixed number of open bins, kept by free space in a bitset, of
-which the fullest closes first. Within a shard the longest pieces arrive first.
-A shard leaves about one bin part-filled, so the loss is a fixed share of the
-shards and does not grow with the input.
+by hash to shards of about equal tokens, and each shard is packed by
+bounded-space online best-fit in order of arrival (the pieces' hash): OPEN_BINS
+open bins at most, kept in a bitset by free space. A piece goes to the open bin
+with the least room that holds it; if none does and the bins are used up, the
+fullest closes first. State is the open bins alone, whatever a shard holds. What
+a shard loses beside best-fit itself is its last open bins, a fixed share of it.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import buckets_for, written
 
-#: Tokens of a sequence; the id that ends a document; pieces of a shard; open bins of a shard.
+#: Tokens of a sequence; the id that ends a document; sequences' worth of tokens of a shard; open bins of a shard.
 CAPACITY = 4096
 END_ID = 1
-SHARD_PIECES = 2_500
-OPEN_BINS = 1_024
+SHARD_SEQUENCES = 2_048
+OPEN_BINS = 64
 #: Words whose ids a task remembers in each of two generations.
 CACHED_WORDS = 150_000
 
@@ -186,13 +187,15 @@ class BestFit:
         return bin_, self.capacity - free
 
 
-def packed(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def packed(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_sequences: int = SHARD_SEQUENCES) -> DataFrame:
     """parts (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     table = written(parts, "pieces")
     columns = table.columns
-    shards = buckets_for(table.count(), shard_pieces)
-    dealt = table.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "ids_crc32")
+    tokens = table.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    shards = buckets_for(tokens, shard_sequences * capacity)
+    dealt = table.withColumn("arrival", F.xxhash64("doc_id", "piece", "ids_crc32", "length"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("arrival"), F.lit(shards)))
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "arrival", "doc_id", "piece", "length", "ids_crc32", "start")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bins = None, None
@@ -213,7 +216,8 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str = "
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece, the end id alone. Repeated rows are
-    packed as often as they come; a null id is kept as null. Empty tables give
-    no rows. Reruns agree.
+    packed as often as they come; a null id is kept as null. Only the two named
+    columns are read, so others may have any name. Empty tables give no rows.
+    Reruns agree: equal rows are alike, and all others arrive in one order.
     """
     return packed(pieces(docs, vocabulary, id_col, text_col, capacity), capacity)
