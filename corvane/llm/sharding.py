@@ -6,8 +6,11 @@ propagated as a group of its own (a group larger than a shard must be cut
 somewhere). Each document starts in a shard by hash. In a round every unsettled
 group votes: the shard with room that holds most of its documents attracts the
 rest, groups are admitted to a shard in seeded order while its quota lasts, and
-what was not admitted votes again. The rest of the rows, which no link ties,
-then fills every shard to its quota, so counts are at most one apart.
+what was not admitted votes again, until all are settled or none fits any shard.
+A shard that was asked always admits the first in its order, so every round
+settles a group and the rounds end. Groups of more than LARGE of a shard choose
+before the others, while there is room for them. The rest of the rows, which no
+link ties, then fills every shard to its quota, so counts are at most one apart.
 
 Votes are (group, shard) counts, aggregated before they are shuffled. Places in a
 shard come from two-level running sums, so no task holds a shard.
@@ -20,11 +23,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROWS_PER_BUCKET, buckets_for, running_sum, sized, written
+from .common import buckets_for, running_sum, sized, written
 
 SHARDS = 24
 SEED = 29
-ROUNDS = 12
+#: Share of a shard beyond which a group chooses first.
+LARGE = 1 / 16
 
 
 def _ordered(h: Column, buckets: int) -> Column:
@@ -36,13 +40,16 @@ def _hash(seed: int, *cols) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 1)
 
 
+def _buckets(df: DataFrame, most: int) -> int:
+    """Buckets of a key with at most `most` rows: they bound a task's rows, and let the largest key use every task."""
+    return max(buckets_for(most), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _settled(units: DataFrame, votes: DataFrame, room: dict[int, int], shards: int, seed: int) -> DataFrame:
     """unit, shard for each group that finds a shard with room, of which it takes its part. units: unit, rows; votes: unit, at, n."""
     done: DataFrame | None = None
     left, n = units, units.count()
-    for _ in range(ROUNDS):
-        if not n or not any(v > 0 for v in room.values()):
-            break
+    while n and any(v > 0 for v in room.values()):
         # every shard with room may attract; without neighbours there it has no votes
         free = F.array(*[F.struct(F.lit(k).alias("at"), F.lit(v).cast("long").alias("room")) for k, v in room.items() if v > 0])
         near = left.join(votes, "unit").select("unit", "rows", "at", "n")
@@ -53,7 +60,7 @@ def _settled(units: DataFrame, votes: DataFrame, room: dict[int, int], shards: i
         # more votes first, then more room, then the seeded order
         best = F.max_by("at", F.struct(F.col("n"), F.col("room"), F.xxhash64(F.lit(seed), "unit", "at")))
         wish = written(fits.groupBy("unit", "rows").agg(best.alias("at"), F.max("room").alias("__r")).select("unit", "rows", "at", _hash(seed + 1, "unit").alias("h")), "wishes")
-        placed = running_sum(wish, ["at"], _ordered(F.col("h"), buckets_for(n)), [F.col("h"), F.col("unit")], {"before": F.col("rows")}, "admission")
+        placed = running_sum(wish, ["at"], _ordered(F.col("h"), _buckets(left, n)), [F.col("h"), F.col("unit")], {"before": F.col("rows")}, "admission")
         limit = F.element_at(F.array(*[F.lit(room[k]).cast("long") for k in range(shards)]), F.col("at") + 1)
         got = written(placed.where(F.col("before") + F.col("rows") <= limit).select("unit", F.col("at").alias("shard"), "rows"), "settled")
         for r in got.groupBy("shard").agg(F.sum("rows").alias("n")).collect():  # at most one row per shard
@@ -71,8 +78,10 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row; the law is `rows`.
 
     size: UTF-8 bytes of the text and 8; a null text has no bytes and no links.
-    Repeated rows are rows of one group. Of groups that fit, none is cut while a
-    shard has room for it. Empty tables give no rows. Reruns agree.
+    Repeated rows are rows of one group, and those with one id share a bucket of
+    the running sums. Null ids are placed by their text. Of groups that fit, none
+    is cut while a shard has room for it. Only the two named columns are read,
+    so others may have any name. Empty tables give no rows. Reruns agree.
     """
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(
@@ -94,13 +103,13 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     units = written(votes.groupBy("unit").agg(F.sum("n").alias("rows")), "units")
     # groups that take much of a shard choose before shards fill up
     room = dict.fromkeys(range(shards), capacity)
-    large = F.col("rows") * 16 > capacity
+    large = F.col("rows") > LARGE * capacity
     settled = _settled(units.where(large), votes, room, shards, seed).union(_settled(units.where(~large), votes, room, shards, seed))
     settled = sized(written(settled.select(F.col("unit").alias("__unit"), F.col("shard").cast("int").alias("home")), "homes"))
     x = linked.join(settled, F.col("unit") == F.col("__unit"), "left").select("doc_id", "size", "text_crc32", "h", "home")
     x = written(x, "homed")
     own = {r["home"]: r["n"] for r in x.where("home is not null").groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row per shard
-    x = running_sum(x, ["home"], _ordered(F.col("h"), max(1, -(-total // ROWS_PER_BUCKET))), [F.col("h"), F.col("doc_id"), F.col("size")], {"place": F.lit(1)}, "places")
+    x = running_sum(x, ["home"], _ordered(F.col("h"), _buckets(x, max([total - sum(own.values()), *own.values()]))), [F.col("h"), F.col("doc_id"), F.col("size")], {"place": F.lit(1)}, "places")
     # what has no home fills the shards one after the other
     to, slot = F.col("home"), F.col("place")
     begin = 0
