@@ -7,7 +7,9 @@ with the identifier in the key, a group of copies of any size spreads over as
 many ranges as its rows need. An external sort within each range places equals
 next to each other, and a stream over each range compares whole neighbouring
 texts. Runs that reach a border of their range are compared with the run on the
-other side: at most two rows per range.
+other side: at most two rows per range, which meet by digest; whole texts travel
+only where the digests on both sides of a border are the same, to a task for each
+border.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WS, written
+from .common import WS, sized, written
 
 #: Leading characters in the sort key.
 LEAD = 48
@@ -101,24 +103,36 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _RUN_SCHEMA = "doc_id long, text_sha256 string, keep_id long, group_size long, first boolean, range int, border int, border_text binary"
 
 
-def _joined_borders(runs: DataFrame, text: str, least: str, rows: str) -> DataFrame:
-    """For runs at borders: smallest id and rows of the whole group, and the range where it begins.
+def _same_as_before(ends: DataFrame) -> DataFrame:
+    """range, border of the runs whose text is that of the run before them, in another range.
 
-    border: 1 the first run of a range, 2 the last, 3 the only one. The input is
-    at most two rows per range, so one ordered window over it is bounded by the
-    number of ranges, not by the documents.
+    ends: range, border (1 the first run of a range, 2 the last, 3 the only one),
+    border_text. Two rows per range at most, so the one ordered window holds a
+    digest for each; the texts are compared in joins on range and border.
     """
-    order = Window.orderBy("__range", "__border")
-    ends = runs.where(F.col(text).isNotNull()).select(F.col("range").alias("__range"), F.col("border").alias("__border"), F.col(text).alias("__t"), F.col(least).alias("__least"), F.col(rows).alias("__rows"))
-    new = F.coalesce((F.lag("__t").over(order) != F.col("__t")) | (F.lag("__range").over(order) == F.col("__range")), F.lit(True))
-    ends = ends.select("*", new.cast("int").alias("__new")).select("__range", "__border", "__least", "__rows", F.sum("__new").over(order).alias("__group"))
+    order = Window.orderBy("range", "border")
+    light = ends.select("range", "border", F.sha2("border_text", 256).alias("digest"))
+    near = light.select("range", "border", (F.lag("digest").over(order) == F.col("digest")).alias("same"), F.lag("range").over(order).alias("of_range"), F.lag("border").over(order).alias("of_border"))
+    near = near.where("same and of_range < range").select("range", "border", "of_range", "of_border")
+    own = near.join(ends.select("range", "border", "border_text"), ["range", "border"])
+    before = ends.select(F.col("range").alias("of_range"), F.col("border").alias("of_border"), F.col("border_text").alias("before"))
+    return own.join(before, ["of_range", "of_border"]).where("border_text = before").select("range", "border")
+
+
+def _joined_borders(runs: DataFrame) -> DataFrame:
+    """For runs at borders: smallest id and rows of the whole group, and the range where it begins."""
+    ends = runs.where(F.col("border_text").isNotNull()).select("range", "border", "border_text", "keep_id", "group_size")
+    same = written(_same_as_before(ends), "same").select(F.col("range").alias("__range"), F.col("border").alias("__border"))
+    ends = ends.drop("border_text").join(sized(same), (F.col("range") == F.col("__range")) & (F.col("border") == F.col("__border")), "left")
+    order = Window.orderBy("range", "border")  # two rows per range at most
+    ends = ends.select("range", "border", "keep_id", "group_size", F.sum(F.col("__range").isNull().cast("int")).over(order).alias("__group"))
     whole = Window.partitionBy("__group")
     return ends.select(
-        "__range", "__border",
-        F.min("__least").over(whole).alias("__keep"),
-        F.sum("__rows").over(whole).alias("__size"),
-        (F.row_number().over(whole.orderBy("__range", "__border")) == 1).alias("__begins"),
-    )
+        F.col("range").alias("__range"), F.col("border").alias("__border"),
+        F.min("keep_id").over(whole).alias("__keep"),
+        F.sum("group_size").over(whole).alias("__size"),
+        (F.row_number().over(whole.orderBy("range", "border")) == 1).alias("__begins"),
+    )
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,11 +141,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when identical after each run of ASCII white space is one
     space; null counts as empty. The row with the smallest id of a group stays;
     of repeated rows with that id, exactly one. A null id sorts last and stays
-    only in a group without other ids. An empty table gives an empty result.
+    only in a group without other ids. Only the two named columns are read, so
+    others may have any name. An empty table gives an empty result.
     """
     runs = written(content_sorted(docs, id_col, text_col).select("__id", "__text").mapInArrow(_runs, _RUN_SCHEMA), "runs")
-    # at most two rows per range: a proven bound
-    ends = F.broadcast(_joined_borders(runs, "border_text", "keep_id", "group_size"))
+    ends = sized(written(_joined_borders(runs), "borders"))
     out = runs.join(ends, (F.col("range") == F.col("__range")) & (F.col("border") == F.col("__border")), "left")
     return out.select(
         "doc_id",
@@ -182,12 +196,9 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = content_sorted(docs, id_col, text_col, rest).drop("__lead", "__digest")
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema] + [T.StructField("range", T.IntegerType()), T.StructField("border", T.IntegerType()), T.StructField("border_text", T.BinaryType())])
     firsts = written(rows.mapInArrow(_firsts, schema), "firsts")
-    ends = firsts.where(F.col("border_text").isNotNull())
-    order = Window.orderBy("range", "border")
-    same = F.lag("border_text").over(order) == F.col("border_text")
     # a range's first run goes if the nearest run before it, in another range, is the same
-    dropped = ends.select("range", "border", F.coalesce(same & (F.lag("range").over(order) < F.col("range")), F.lit(False)).alias("__same"))
-    dropped = F.broadcast(dropped.where((F.col("border") == 1) & F.col("__same")).select(F.col("range").alias("__range")))  # at most one row per range
+    dropped = _same_as_before(firsts.where(F.col("border_text").isNotNull()))
+    dropped = sized(written(dropped.where("border = 1").select(F.col("range").alias("__range")), "dropped"))
     kept = firsts.where(F.col("border") < 2).join(dropped, (F.col("border") == 1) & (F.col("range") == F.col("__range")), "left_anti")
     by = {id_col: F.col("__id").cast(docs.schema[id_col].dataType), text_col: F.col("__text")} | {c: F.col(f"__p_{i}") for i, c in enumerate(rest)}
     return kept.select(*[by[c].alias(c) for c in docs.columns])
