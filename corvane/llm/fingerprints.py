@@ -4,8 +4,8 @@ The canonical form folds Unicode compatibility forms (NFKC), case and white
 space; its 128-bit XXH3 is the fingerprint. Two fingerprints are alike (1.0) if
 the digests and then the canonical bytes are equal, else not (0.0). Documents
 whose digest another document shares are range-partitioned by digest and
-identifier and compared with their neighbours; should a digest ever hold unlike
-texts, its members' fingerprints get a suffix of their canonical text's SHA-256.
+identifier and compared with their neighbours, byte by byte, and across the
+borders of ranges by SHA-256; should a digest ever hold unlike texts, its members' fingerprints get a suffix of their canonical text's SHA-256.
 """
 
 from __future__ import annotations
@@ -117,13 +117,13 @@ def _mixed(bits: int):
             rows = []
             for d, form in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if last is None:
-                    rows.append((d, at, 0, form))
+                    rows.append((d, at, 0, hashlib.sha256(form).digest()))
                 elif last[0] == d and last[1] != form:
                     rows.append((d, at, -1, None))
                 last = (d, form)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary()))], names=["digest", "range", "place", "form"])
         if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([at], pa.int32()), pa.array([1], pa.int32()), pa.array([last[1]], pa.binary())], names=["digest", "range", "place", "form"])
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([at], pa.int32()), pa.array([1], pa.int32()), pa.array([hashlib.sha256(last[1]).digest()], pa.binary())], names=["digest", "range", "place", "form"])
 
     return made
 
@@ -148,7 +148,7 @@ def mixed_digests(docs: DataFrame, digests: DataFrame, bits: int = 128) -> DataF
     forms = some.select("doc_id", "text").mapInArrow(formed, "doc_id long, digest string, form binary")
     key = ["digest", "doc_id"]
     found = written(forms.repartitionByRange(*key).sortWithinPartitions(*key).select("digest", "form").mapInArrow(_mixed(bits), "digest string, range int, place int, form binary"), "mixed")
-    order = Window.orderBy("range", "place")  # two rows per range at most
+    order = Window.orderBy("range", "place")  # two rows of digests per range at most
     ends = found.where("place >= 0").select("digest", (F.lag("digest").over(order) == F.col("digest")).alias("same"), (F.lag("form").over(order) != F.col("form")).alias("unlike"))
     return found.where("place < 0").select("digest").union(ends.where("same and unlike").select("digest")).distinct()
 
@@ -158,17 +158,20 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text takes the beginning of the next row in descending order of
     doc_id (null ids last; rows with one id by text), after the last the first;
-    a single row follows itself. Null texts count as empty; empty tables give no
-    rows. Whole texts are shuffled once, by ranges of the identifier.
+    a single row follows itself. Null texts count as empty; only the two named
+    columns are read, so others may have any name; empty tables give no rows.
+    Whole texts are shuffled once, by ranges of the identifier.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     by_id = F.col("doc_id").desc_nulls_last()
     stream = rows.repartitionByRange(by_id).sortWithinPartitions(by_id, F.col("text"))
     made = written(stream.mapInArrow(_streamed(bits), _SCHEMA), "compared")
-    borders = made.where("range is not null")
-    order = Window.orderBy("range", F.col("head").isNull().cast("int"))  # two rows per range at most
-    borders = borders.select("doc_id", "tail", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("following")).where("tail is not null")
-    pairs = borders.mapInArrow(_paired(bits), _SCHEMA)
+    # a range's last row meets the first text of the range behind it: numbers of ranges find each other, then texts by number
+    heads = made.where("head is not null").select("range", "head")
+    order = Window.orderBy("range")  # one number per range
+    after = heads.select("range", F.coalesce(F.lead("range").over(order), F.first("range").over(order)).alias("next"))
+    tails = made.where("tail is not null").select("doc_id", "tail", "range").join(after, "range")
+    pairs = tails.join(heads.select(F.col("range").alias("next"), F.col("head").alias("following")), "next").select("doc_id", "tail", "following").mapInArrow(_paired(bits), _SCHEMA)
     out = written(made.where("range is null").union(pairs).drop("range", "head", "tail"), "fingerprints")
     mixed = mixed_digests(rows, out.select("doc_id", "fingerprint"), bits)
     out = out.join(sized(written(mixed, "unlike")), F.col("fingerprint") == F.col("digest"), "left")
