@@ -84,9 +84,12 @@ def grids(distance: int, agree: int = 2) -> list[int]:
     return [sum(chosen) for chosen in combinations(groups, agree)]
 
 
-def agreeing(points: int) -> int:
-    """Groups that a cell holds: more make more grids of smaller cells. Every choice finds the same links."""
-    return 2 if points <= 5_000_000 else 3 if points <= 500_000_000 else 4
+def agreeing(points: int, distance: int = 4, cell: int = 150) -> int:
+    """Groups that a cell holds: the fewest for which unlike fingerprints fill a cell with no more than `cell`. Every choice finds the same links."""
+    for agree in range(2, 33 - distance):
+        if points * (3 / 8) ** (32 * agree / (distance + agree)) <= cell:  # two random bits have equal counts in 3 of 8 cases
+            return agree
+    return 32 - distance
 
 
 class _Forest:
@@ -111,26 +114,36 @@ class _Forest:
 
 
 def _near(fa: np.ndarray, ta: np.ndarray, fb: np.ndarray, tb: np.ndarray, distance: int) -> np.ndarray:
-    """The Manhattan bound first, then the Hamming distance of what passes it."""
-    near = np.bitwise_count(ta ^ tb) <= distance
-    near[near] = np.bitwise_count((fa ^ fb)[near] if fa.shape == near.shape else np.broadcast_to(fa, near.shape)[near] ^ np.broadcast_to(fb, near.shape)[near]) <= distance
+    """The Manhattan bound first, then the Hamming distance of what passes it. The last axis holds a fingerprint's words of 64 bits."""
+    near = np.bitwise_count(ta ^ tb).sum(axis=-1, dtype=np.int16) <= distance
+    a, b = np.broadcast_to(fa, (*near.shape, fa.shape[-1])), np.broadcast_to(fb, (*near.shape, fb.shape[-1]))
+    near[near] = np.bitwise_count(a[near] ^ b[near]).sum(axis=-1, dtype=np.int16) <= distance
     return near
 
 
 def _cell_forest(f: np.ndarray, t: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links (indices) that span the components of one cell or tile, by breadth-first search."""
+    """Links (indices) that span the components of one cell or tile: first who has a partner at all, then a breadth-first search among those."""
+    n = len(f)
+    partner = np.zeros(n, bool)
+    step = max(1, 500_000 // n)
+    for k in range(0, n, step):
+        near = _near(f[k : k + step, None], t[k : k + step, None], f[None], t[None], distance)
+        partner[k : k + step] = near.sum(axis=1) > 1
     links = []
-    left = np.arange(len(f))
+    left = np.flatnonzero(partner)
     while len(left) > 1:
         front, left = left[:1], left[1:]
         while len(front) and len(left):
             hit = np.full(len(left), -1)
-            step = max(1, 2_000_000 // len(left))
+            step = max(1, 500_000 // len(left))
             for k in range(0, len(front), step):
-                some = front[k : k + step]
-                near = _near(f[some][:, None], t[some][:, None], f[left][None, :], t[left][None, :], distance)
-                new = near.any(axis=0) & (hit < 0)
-                hit[new] = some[near[:, new].argmax(axis=0)]
+                open_ = np.flatnonzero(hit < 0)
+                if not len(open_):
+                    break
+                some, to = front[k : k + step], left[open_]
+                near = _near(f[some][:, None], t[some][:, None], f[to][None], t[to][None], distance)
+                new = near.any(axis=0)
+                hit[open_[new]] = some[near[:, new].argmax(axis=0)]
             got = hit >= 0
             links += zip(hit[got].tolist(), left[got].tolist(), strict=True)
             front, left = left[got], left[~got]
@@ -141,7 +154,9 @@ def _cell_forest(f: np.ndarray, t: np.ndarray, distance: int) -> list[tuple[int,
 _SMALL = 16
 
 
-def _cells(distance: int):
+def _cells(distance: int, lanes: int = 1):
+    """Columns: cell, the words of the fingerprint, those of its embedding, node."""
+
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive sorted by cell. Only one cell (at most two blocks) and one batch are held."""
         forest = _Forest()
@@ -173,9 +188,11 @@ def _cells(distance: int):
         def out(a: list[int], b: list[int]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+        def words(batch: pa.RecordBatch, at: int) -> np.ndarray:
+            return np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in range(at, at + lanes)], axis=-1)
+
         for batch in batches:
-            now = [batch.column(0).to_numpy(zero_copy_only=False), *(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3))]
-            now[1], now[2] = now[1].view(np.uint64), now[2].view(np.uint64)
+            now = [batch.column(0).to_numpy(zero_copy_only=False), words(batch, 1), words(batch, 1 + lanes), batch.column(1 + 2 * lanes).to_numpy(zero_copy_only=False)]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             if not len(now[0]):
@@ -190,6 +207,20 @@ def _cells(distance: int):
     return joined
 
 
+def tiled(cells: DataFrame, block: int) -> DataFrame:
+    """cells (cell, node, ...) with cells of more than `block` nodes dealt to tiles of two blocks each, so that each pair of nodes shares one."""
+    hot = written(cells.groupBy("cell").count().where(F.col("count") > block).select(F.col("cell").alias("hot"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), "hot")
+    n = hot.count()
+    if not n:
+        return cells
+    columns = cells.columns
+    cells = cells.join(sized(hot, n), F.col("cell") == F.col("hot"), "left")
+    own = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.xxhash64("cell", F.least(own, x), F.greatest(own, x)))
+    cells = cells.withColumn("__tile", F.explode(F.coalesce(F.when(F.col("hot").isNotNull(), tiles), F.array("cell"))))
+    return cells.select(*[F.col("__tile").alias("cell") if c == "cell" else F.col(c) for c in columns])
+
+
 def near_links(points: DataFrame, distance: int = 4, block: int = 4096, agree: int | None = None) -> DataFrame:
     """a, b: links that connect exactly what fingerprints within the distance connect.
 
@@ -197,18 +228,10 @@ def near_links(points: DataFrame, distance: int = 4, block: int = 4096, agree: i
     grid: 15 for distance 4 and two agreeing groups.
     """
     t = embedded(F.col("fp"))
-    masks = grids(distance, agree or agreeing(points.count()))
+    masks = grids(distance, agree or agreeing(points.count(), distance))
     cells = points.withColumn("t", t).select("fp", "t", "node", F.posexplode(F.array(*[F.col("t").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("grid", "at"))
-    cells = cells.select("fp", "t", "node", F.xxhash64("grid", "at").alias("cell"))
-    hot = written(cells.groupBy("cell").count().where(F.col("count") > block).select(F.col("cell").alias("hot"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), "hot")
-    n = hot.count()
-    if n:
-        cells = cells.join(sized(hot, n), F.col("cell") == F.col("hot"), "left")
-        own = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks"))
-        tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.xxhash64("cell", F.least(own.cast("int"), x), F.greatest(own.cast("int"), x)))
-        cells = cells.select(F.explode(F.coalesce(F.when(F.col("hot").isNotNull(), tiles), F.array("cell"))).alias("cell"), "fp", "t", "node")
-    dealt = cells.select("cell", "fp", "t", "node").repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(_cells(distance), "a long, b long")
+    cells = tiled(cells.select(F.xxhash64("grid", "at").alias("cell"), "fp", "t", "node"), block)
+    return cells.select("cell", "fp", "t", "node").repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(distance), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, block: int = 4096) -> DataFrame:
