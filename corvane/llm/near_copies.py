@@ -171,7 +171,7 @@ def _groups(least: float):
             if len({forest.root(x) for x in nodes}) < 2:
                 return []
             found = [(nodes[i], nodes[j]) for i, j in _similar_forest(sets, least)]
-            return [(a, b) for a, b in found if forest.join(a, b)]
+            return [link for a, b in found if (link := forest.join(a, b))]
 
         def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -199,7 +199,7 @@ def candidate_links(points: DataFrame, least: float, block: int = 4096) -> DataF
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_fingerprint_cells(reach(least), 2), "a long, b long")
 
 
-def similar_links(docs: DataFrame, least: float = 0.8, words: int = 5, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+def similar_links(docs: DataFrame, least: float = 0.8, words: int = 5, block: int = 256) -> tuple[DataFrame, DataFrame]:
     """sketches (doc_id, node, low, high) and links (a, b) that connect what candidates of at least that similarity connect.
 
     docs: doc_id, text. node is null for texts without words.
@@ -216,7 +216,7 @@ def similar_links(docs: DataFrame, least: float = 0.8, words: int = 5, block: in
     return sketches, dealt.mapInArrow(_groups(least), "a long, b long")
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, words: int = 5, block: int = 1024) -> DataFrame:
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, words: int = 5, block: int = 256) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component of similar texts, the document with the smallest id.
 
     Rows without an id and texts without words (null and empty ones too) stay;

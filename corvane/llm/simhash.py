@@ -105,12 +105,14 @@ class _Forest:
             x = y
         return x
 
-    def join(self, a: int, b: int) -> bool:
+    def join(self, a: int, b: int) -> tuple[int, int] | None:
+        """The two roots, smaller first, if they were apart: the same link between smaller nodes, so that links of many tasks meet in few nodes."""
         a, b = self.root(a), self.root(b)
         if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+            return None
+        a, b = min(a, b), max(a, b)
+        self.up[b] = a
+        return a, b
 
 
 def _near(fa: np.ndarray, ta: np.ndarray, fb: np.ndarray, tb: np.ndarray, distance: int) -> np.ndarray:
@@ -182,7 +184,7 @@ def _cells(distance: int, lanes: int = 1):
                 for x, y in _cell_forest(fp[s], t[s], distance):
                     a.append(int(own[x]))
                     b.append(int(own[y]))
-            kept = [(x, y) for x, y in zip(a, b, strict=True) if forest.join(x, y)]
+            kept = [link for x, y in zip(a, b, strict=True) if (link := forest.join(x, y))]
             return [x for x, _ in kept], [y for _, y in kept]
 
         def out(a: list[int], b: list[int]) -> pa.RecordBatch:
