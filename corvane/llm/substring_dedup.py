@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -50,22 +51,20 @@ def units(text: str, unit: str = "sentence") -> Iterator[tuple[int, int, str]]:
 
 def _hashed(unit: str):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                some = batch.slice(at, 1_000)
-                doc, key, place, start, end, words, digest = [], [], [], [], [], [], []
-                for i, k, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
-                    n = -1
-                    for n, (a, b, form) in enumerate(units(text or "", unit)):
-                        place.append(n)
-                        start.append(a)
-                        end.append(b)
-                        words.append(form.count(" ") + 1)
-                        digest.append(xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass")))
-                    doc += [i] * (n + 1)
-                    key += [k] * (n + 1)
-                columns = [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), *(pa.array(c, pa.int32()) for c in (place, start, end, words)), pa.array(digest, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "place", "start", "end", "words", "digest"])
+        for some in _pieces(batches):
+            doc, key, place, start, end, words, digest = [], [], [], [], [], [], []
+            for i, k, text in zip(*(some.column(c).to_pylist() for c in range(3)), strict=True):
+                n = -1
+                for n, (a, b, form) in enumerate(units(text or "", unit)):
+                    place.append(n)
+                    start.append(a)
+                    end.append(b)
+                    words.append(form.count(" ") + 1)
+                    digest.append(xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass")))
+                doc += [i] * (n + 1)
+                key += [k] * (n + 1)
+            columns = [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), *(pa.array(c, pa.int32()) for c in (place, start, end, words)), pa.array(digest, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "place", "start", "end", "words", "digest"])
 
     return made
 
@@ -84,39 +83,43 @@ def later_units(found: DataFrame) -> DataFrame:
 
 
 def _runs(least: int):
-    """Runs of neighbouring repeats of a document, with the earliest occurrences of their first and last unit."""
-    first = pa.struct([("doc_id", pa.int64()), ("key", pa.int64()), ("place", pa.int32())])
+    """Runs of neighbouring repeats of a document, with the earliest occurrences of their first and last unit. Units arrive sorted by place."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc, key, own in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                own.sort(key=lambda u: u["place"])
-                at = 0
-                while at < len(own):
-                    to = at
-                    while to + 1 < len(own) and own[to + 1]["place"] == own[to]["place"] + 1:
-                        to += 1
-                    if sum(u["words"] for u in own[at : to + 1]) >= least:
-                        out.append((doc, key, own[at]["start"], own[to]["end"], own[at]["first"], own[to]["first"]))
-                    at = to + 1
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), first, first]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["doc_id", "key", "start", "end", "begins", "ends"])
+            own = batch.column(2)
+            units_ = own.flatten()
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(own.offsets.to_numpy()))
+            place, words = (units_.field(k).to_numpy(zero_copy_only=False) for k in ("place", "words"))
+            begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)]) if len(doc) else np.empty(0, np.int64)
+            end = np.r_[begin[1:], len(doc)] - 1 if len(begin) else begin
+            long = np.add.reduceat(words, begin) >= least if len(begin) else np.empty(0, bool)
+            begin, end = pa.array(begin[long], pa.int64()), pa.array(end[long], pa.int64())
+            of = pa.array(doc[begin.to_numpy()], pa.int64()) if len(begin) else begin
+            columns = [batch.column(0).take(of), batch.column(1).take(of), units_.field("start").take(begin), units_.field("end").take(end), units_.field("first").take(begin), units_.field("first").take(end)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "start", "end", "begins", "ends"])
 
     return made
 
 
 def repeated_runs(later: DataFrame, least: int = SEED_WORDS) -> DataFrame:
-    own = later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("place", "start", "end", "words", F.struct("first.doc_id", "first.key", "first.place").alias("first"))).alias("own"))
+    own = later.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("place", "start", "end", "words", F.struct("first.doc_id", "first.key", "first.place").alias("first")))).alias("own"))
     first = "struct<doc_id:bigint,key:bigint,place:int>"
     return own.mapInArrow(_runs(least), f"doc_id long, key long, start int, end int, begins {first}, ends {first}")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _beside(unit: str):
     """The unit before and the unit after each asked place."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             out: list[tuple] = []
             for doc, key, text, places in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 own = list(units(text or "", unit))
@@ -199,7 +202,7 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def _cleaned(least: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in _pieces(batches):
             texts, removed, gone = [], [], []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 text = text or ""
