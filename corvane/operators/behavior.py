@@ -28,7 +28,7 @@ def compatible_locations(location_prior: DataFrame, limit: int = 3) -> DataFrame
 
 def query_locations(queries: DataFrame, compatible: DataFrame) -> DataFrame:
     """qid, location: the compatible locations, or the query's own where the log has none."""
-    c = F.broadcast(compatible.select("search_location_id", "item_location_id"))  # locations times a small limit
+    c = sized(compatible.select("search_location_id", "item_location_id"))
     return queries.join(c, "search_location_id", "left").select("qid", F.coalesce("item_location_id", "search_location_id").alias("location"))
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexical import DIGITS, top
+from .lexical import DIGITS, sized, top
 
 #: Values of a candidate, in the order of a packed row.
 VALUES = ["word", "char", "filter", "history", "category", "location", "popularity", "exact_word", "exact_char", "exact_filter", "title", "microcat"]
@@ -50,7 +50,7 @@ def with_priors(rows: DataFrame, queries: DataFrame, items: DataFrame, category:
     """Category and location priors of each pair, 0 where the log has none. The priors are small tables."""
     q = queries.select("qid", "search_category", "search_location_id")
     i = items.select("item_id", "item_category_id", "item_location_id")
-    x = rows.drop("category", "location").join(F.broadcast(q), "qid").join(i, "item_id")
+    x = rows.drop("category", "location").join(sized(q), "qid").join(i, "item_id")
     x = x.join(category.withColumnRenamed("prior", "category"), ["search_category", "item_category_id"], "left")
     x = x.join(location.withColumnRenamed("prior", "location"), ["search_location_id", "item_location_id"], "left")
     return x.select(*[c for c in rows.columns if c not in ("category", "location")], F.coalesce("category", F.lit(0.0)).alias("category"), F.coalesce("location", F.lit(0.0)).alias("location"))
@@ -74,7 +74,7 @@ def masks(columns: list[str], pool: int, geo: int) -> dict[str, Column]:
     return m | {"eligible": m["word"] | m["char"] | m["filter"] | always}
 
 
-def linear_score(columns: list[str], settings: Settings) -> Column:
+def linear_score(columns: list[str], settings: Settings, digits: int = DIGITS) -> Column:
     m = masks(columns, settings.pool, settings.geo_neighbors)
     total = F.lit(0.0)
     for name, weight in settings.weights.items():
@@ -85,13 +85,13 @@ def linear_score(columns: list[str], settings: Settings) -> Column:
         else:
             continue
         total = total + F.lit(float(weight)) * value
-    return F.round(total, DIGITS)
+    return F.round(total, digits)
 
 
-def scored(rows: DataFrame, settings: Settings) -> DataFrame:
+def scored(rows: DataFrame, settings: Settings, digits: int = DIGITS) -> DataFrame:
     """The eligible rows with base_score."""
     keep = masks(rows.columns, settings.pool, settings.geo_neighbors)["eligible"]
-    return rows.where(keep).withColumn("base_score", linear_score(rows.columns, settings))
+    return rows.where(keep).withColumn("base_score", linear_score(rows.columns, settings, digits))
 
 
 def answers(ranked: DataFrame, queries: DataFrame, catalog: DataFrame, top_k: int = 50, score: str = "base_score") -> DataFrame:

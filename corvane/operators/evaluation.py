@@ -239,3 +239,17 @@ def union_catalog(items: DataFrame, train: DataFrame) -> DataFrame:
     both = items.withColumn("__from", F.lit(0)).unionByName(train.select(*columns).distinct().withColumn("__from", F.lit(1)))
     return both.groupBy("item_id").agg(F.min(F.struct("__from", *[c for c in columns if c != "item_id"])).alias("r")).select(*[F.col("item_id") if c == "item_id" else F.col(f"r.{c}").alias(c) for c in columns])
 
+
+
+def keep_first(items: DataFrame) -> DataFrame:
+    """One row of each item_id: the smallest in order of all other columns, so reruns agree."""
+    columns = items.columns
+    kept = items.groupBy("item_id").agg(F.min(F.struct(*[c for c in columns if c != "item_id"])).alias("r"))
+    return kept.select(*[F.col("item_id") if c == "item_id" else F.col(f"r.{c}").alias(c) for c in columns])
+
+
+def universe_hash(pairs: DataFrame, buckets: int = 1_024) -> str:
+    """sha256 of a candidate universe: the sorted hashes of each bucket are hashed where they lie, then the buckets' own."""
+    row = F.sha2(F.concat_ws("\x1f", "qid", "item_id"), 256)
+    own = pairs.select(row.alias("h"), F.pmod(F.xxhash64("qid", "item_id"), F.lit(buckets)).alias("b")).groupBy("b").agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("h"))), 256).alias("h"))
+    return own.agg(F.sha2(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])), 256)).first()[0]

@@ -49,7 +49,7 @@ def metadata(pairs: DataFrame, queries: DataFrame, items: DataFrame, centers: Da
     q = queries.select("qid", "search_location_id", "search_category", F.col("search_is_delivery_search").cast("int").alias("delivery"), norm("search_query").alias("q"))
     q = q.join(centers.select(F.col("item_location_id").alias("search_location_id"), "latitude", "longitude"), "search_location_id", "left")
     i = items.select("item_id", "item_location_id", "item_category_id", *[number(F.col(c)).alias(c) for c in ("item_price", "item_rating", "item_rating_reviews_count", "item_latitude", "item_longitude")], "item_is_phone_hidden", "item_is_message_forbidden", norm("item_title_raw").alias("t"))
-    x = pairs.select("qid", "item_id").join(F.broadcast(q), "qid").join(i, "item_id")
+    x = pairs.select("qid", "item_id").join(sized(q), "qid").join(i, "item_id")
     flag = lambda c: c.cast("double")
     values = [
         clipped_log(F.col("item_price"), 1e12), F.col("item_rating"), clipped_log(F.col("item_rating_reviews_count")), flag(F.col("item_is_phone_hidden")), flag(F.col("item_is_message_forbidden")),

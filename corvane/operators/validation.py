@@ -34,11 +34,11 @@ def answer_counts(answer: DataFrame, queries: DataFrame, items: DataFrame) -> Da
     return rows
 
 
-# The faults and what they are called.
+#: The counts that make an answer invalid, in words.
 FAULTS = {
-    "duplicate_queries": "query_id contains duplicates", "missing_queries": "missing query_id values", "unexpected_queries": "unexpected query_id values", "invalid_query_ids": "invalid query_id format",
-    "invalid_separator": "answers with separator other than one space", "over_limit": "answers with more than 50 items", "duplicate_items": "answers containing duplicate item_id",
-    "invalid_items": "item_id values with invalid lowercase hex format", "unknown_items": "item_id values absent from the catalog",
+    "duplicate_queries": "queries answered more than once", "missing_queries": "queries without an answer", "unexpected_queries": "answers to unknown queries", "invalid_query_ids": "malformed ids of queries",
+    "invalid_separator": "answers not separated by single spaces", "over_limit": f"answers longer than {MOST_ITEMS}", "duplicate_items": "answers that name an item twice",
+    "invalid_items": "malformed ids of items", "unknown_items": "items that the catalog lacks",
 }
 
 

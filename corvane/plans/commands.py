@@ -20,8 +20,9 @@ from ..sources import io as sources
 from ..sources.schema import QUERY_COLUMNS
 from .retrieval import Behavior, Index, Keep, Limits, improved_features
 
-# The grid of the first search and the options of the second.
+# The grid of the first search.
 GRID = {"char": [0.55, 0.8, 1.05], "filter": [0.0, 0.18], "history": [0.0, 0.25, 0.6, 0.95], "category": [0.05, 0.14], "location": [0.02, 0.1, 0.3, 0.7]}
+#: Our own options, a small grid around the selected settings.
 OPTIONS = {"exact_rescore": [False, True], "pool": [120, 240, 300], "geo_neighbors": [3, 5]} | {f"weight:{n}": v for n, v in {"char": [0.35, 0.75, 1.05], "location": [0.06, 0.3, 0.7], "title": [0.0, 0.4], "microcat": [0.0, 0.4]}.items()}
 
 
@@ -45,6 +46,10 @@ class RerankerConfig:
     microcat_smoothing: float = 20.0
     boosting: model.Boosting = model.Boosting()
     seed: str = "units"
+    #: The pool that the candidates are compared with: every one of its candidates must be among them.
+    baseline: Settings = Settings(exact_rescore=True, geo_neighbors=3, pool=120)
+    #: Hashes of the units to be evaluated, by fold. A fold without one is only recorded.
+    unit_hashes: dict[int, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.schema not in ("locality", "metadata"):
@@ -152,7 +157,7 @@ def evaluate_reranker(spark: SparkSession, data_dir: str, settings: Settings = S
     """Trains on one fold, compares blended and linear answers on others, and passes or fails the gate."""
     frames = sources.load_frames(spark, data_dir)
     fitted, index = train_reranker(frames, settings, config, limits)
-    strata, means, floors, hashes = [], [], {}, {}
+    strata, means, floors, hashes, universes = [], [], {}, {}, {}
     sums = np.zeros(2)
     contract = True
     for fold in config.evaluation_folds:
@@ -167,11 +172,41 @@ def evaluate_reranker(spark: SparkSession, data_dir: str, settings: Settings = S
         slices = evaluation.unit_slices(p.units, p.past, index.items)
         for r in evaluation.slice_means(compared, slices, "delta").where("queries >= 50").collect():  # a dozen slices
             floors[f"{fold}:{r['slice']}"] = r["mean"]
-        contract &= evaluation.missing_candidates(candidates.scored(p.rows, settings), rows) == 0
+        base = sources.written(candidates.scored(p.rows, config.baseline).select("qid", "item_id"), "baseline")
+        contract &= evaluation.missing_candidates(base, rows) == 0
+        universes[fold] = {"baseline": evaluation.universe_hash(base), "candidate": evaluation.universe_hash(rows)}
         hashes[fold] = evaluation.ordered_hash(p.units, QUERY_COLUMNS).first()["sha256"]
     interval = evaluation.cluster_bootstrap([s for s in strata if len(s)], 2_000) if any(map(len, strata)) else (0.0, 0.0)
     pooled = float(sums[0] / sums[1]) if sums[1] else 0.0
-    return {"fold_deltas": means, "pooled_delta": pooled, "interval": interval, "slices": floors, "unit_hashes": hashes, "gate": evaluation.gate(means, pooled, interval[0], floors, contract, True), "selected_settings": asdict(settings)}
+    known = all(hashes.get(fold) == expected for fold, expected in config.unit_hashes.items())
+    gate = evaluation.gate(means, pooled, interval[0], floors, contract, known)
+    return {
+        "fold_deltas": means, "pooled_delta": pooled, "interval": interval, "slices": floors, "unit_hashes": hashes, "candidate_universes": universes, "gate": gate,
+        "selected_settings": asdict(settings), "reranker": asdict(config),
+    }
+
+
+def reranker_of(report: dict | None) -> RerankerConfig:
+    """The reranker that a report was made with, so that what is used is what passed."""
+    if not report or "reranker" not in report:
+        return RerankerConfig()
+    return reranker_config(report["reranker"])
+
+
+def reranker_config(given: dict) -> RerankerConfig:
+    """From JSON, where the keys of maps are text. Unknown names raise."""
+    made = dict(given)
+    for name in ("evaluation_excluded", "unit_hashes"):
+        if name in made:
+            made[name] = {int(k): tuple(v) if isinstance(v, list) else v for k, v in made[name].items()}
+    for name in ("training_excluded", "evaluation_folds"):
+        if name in made:
+            made[name] = tuple(made[name])
+    if "baseline" in made:
+        made["baseline"] = Settings(**made["baseline"])
+    if "boosting" in made:
+        made["boosting"] = model.Boosting(**made["boosting"])
+    return RerankerConfig(**made)
 
 
 def settings_of(report: dict | None) -> Settings:
@@ -194,7 +229,7 @@ def predict(spark: SparkSession, data_dir: str, output: str, report: dict | None
     settings = settings_of(report)
     keep = _keeper(spark)
     queries = frames.queries.withColumnRenamed("query_id", "qid")
-    index = Index(keep(frames.items.dropDuplicates(["item_id"]), "catalog"), limits, keep)
+    index = Index(keep(evaluation.keep_first(frames.items), "catalog"), limits, keep)
     log = Behavior(index, frames.train)
     problem = Problem(queries, frames.train, index, log, keep(improved_features(queries, index, log), "rows"))
     if config and reranker_enabled(report):

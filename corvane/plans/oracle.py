@@ -27,7 +27,7 @@ def hex_id(kind: str, e: str) -> str:
 
 def _search(k: str, text: str, variant: str) -> str:
     return (
-        f"substr({text}, 1, 40) || ' ' || {variant} AS search_query, ({k} * 7) % 20 AS search_location_id, {k} % 2 = 0 AS search_is_delivery_search, "
+        f"{text} || ' ' || {variant} AS search_query, ({k} * 7) % 20 AS search_location_id, {k} % 2 = 0 AS search_is_delivery_search, "
         f"'en src' || CAST(({k} * 7) % 20 AS VARCHAR) AS search_infm_params_text, {k} % 7 AS search_category"
     )
 
@@ -74,7 +74,7 @@ PARTS: dict[str, str] = {
         CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS item_location_id, 40 + (doc_id * 31 % 1000) / 100.0::DOUBLE AS item_latitude, doc_id % 2 = 0 AS item_is_phone_hidden, doc_id % 3 = 0 AS item_is_message_forbidden,
         concat_ws(' ', lang, source) AS item_infm_params_text, {hex_id("i", "doc_id")} AS item_id, text AS item_description_raw, doc_id % 7 AS item_category_id FROM documents""",
     "queries": f"SELECT {hex_id('q', 'item_id')} AS qid, {_search('item_id', 'text', chr(39) * 2)} FROM benchmark",
-    "train": f"SELECT * FROM (SELECT {_search('b.item_id', 'b.text', 'e.event_type')}, {hex_id('i', '(e.event_id * 13 + e.user_id) % 200')} AS item_id FROM events e JOIN benchmark b ON e.user_id % 40 = b.item_id) JOIN items USING (item_id)",
+    "train": f"SELECT * FROM (SELECT {_search('b.item_id', 'b.text', 'e.event_type')}, {hex_id('i', '(e.event_id * 13 + e.user_id) % (SELECT count(*) FROM documents)')} AS item_id FROM events e JOIN benchmark b ON e.user_id % (SELECT count(*) FROM benchmark) = b.item_id) JOIN items USING (item_id)",
     "keyed": f"SELECT *, {norm('search_query')} AS key FROM train",
     "folded": f"SELECT *, {fold('key')} AS fold FROM keyed",
     "units": "SELECT substr(md5(concat_ws('|', search_query, search_location_id, search_infm_params_text, search_category)), 1, 16) AS qid, * FROM (SELECT search_query, search_location_id, search_is_delivery_search, search_infm_params_text, search_category, list_sort(list(DISTINCT item_id)) AS relevant_items FROM folded WHERE fold = 2 GROUP BY ALL)",
@@ -114,11 +114,11 @@ PARTS: dict[str, str] = {
     "microcat_local": "SELECT item_microcat_id, count(*) AS n, sum(CASE WHEN search_location_id = item_location_id THEN 1 ELSE 0 END)::BIGINT AS hits, (hits + 20.0 * (SELECT mean FROM mean_local)) / (n + 20.0) AS propensity FROM train GROUP BY item_microcat_id",
     "query_local": "SELECT qid, coalesce(s, (SELECT mean FROM mean_local)) AS locality FROM queries LEFT JOIN (SELECT qid, sum(score * score * propensity) / sum(score * score) AS s FROM near16 JOIN key_local USING (key) GROUP BY qid) USING (qid)",
     # vectors
-    "vectors": f"SELECT {hex_id('i', 'vec_id')} AS item_id, vec_id % 20 AS location, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 < 2",
-    "query_vectors": f"SELECT {hex_id('q', 'vec_id')} AS qid, vec_id * 7 % 20 AS location, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 = 2",
+    "vectors": f"SELECT {hex_id('i', 'vec_id')} AS item_id, vec_id % 5 AS location, embedding::DOUBLE[] AS v FROM embeddings",
+    "query_vectors": f"SELECT {hex_id('q', 'vec_id')} AS qid, vec_id // 20 * 7 % 5 AS location, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0",
     "cosines": "SELECT qid, item_id, q.location = i.location AS same, round(list_cosine_similarity(q.v, i.v), 9) AS score FROM query_vectors q, vectors i",
-    "dense_top": top("(SELECT qid, item_id, score FROM cosines)", 100),
-    "dense_local": top("(SELECT qid, item_id, score FROM cosines WHERE same)", 20),
+    "dense_top": top("(SELECT qid, item_id, score FROM cosines)", 1000),
+    "dense_local": top("(SELECT qid, item_id, score FROM cosines WHERE same)", 200),
     "dense_pairs": "SELECT qid, item_id FROM dense_local UNION SELECT qid, item_id FROM dense_top WHERE rank <= 50",
     # the candidate union
     "parts": """SELECT qid, item_id, 'word' AS channel, score AS value, 'global_word_rank' AS source, rank AS place FROM word_top
@@ -146,6 +146,20 @@ PARTS: dict[str, str] = {
     "centers": "SELECT item_location_id, median(item_latitude) AS latitude, median(item_longitude) AS longitude FROM items WHERE item_location_id IS NOT NULL GROUP BY item_location_id",
 }
 
+# the candidate union with dense candidates, and every item and query with a vector of its own
+PARTS |= {
+    "item_vectors": f"SELECT {hex_id('i', 'doc_id')} AS item_id, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS location, embedding::DOUBLE[] AS v FROM documents d JOIN embeddings e ON d.doc_id % (SELECT count(*) FROM embeddings) = e.vec_id",
+    "search_vectors": f"SELECT {hex_id('q', 'item_id')} AS qid, item_id * 7 % 20 AS location, embedding::DOUBLE[] AS v FROM benchmark b JOIN embeddings e ON (b.item_id * 3 + 1) % (SELECT count(*) FROM embeddings) = e.vec_id",
+    "cosines52": "SELECT qid, item_id, q.location = i.location AS same, round(list_cosine_similarity(q.v, i.v), 9) AS score FROM search_vectors q, item_vectors i",
+    "dense_top52": top("(SELECT qid, item_id, score FROM cosines52)", 1000),
+    "dense_local52": top("(SELECT qid, item_id, score FROM cosines52 WHERE same)", 200),
+    "dense_pairs52": "SELECT qid, item_id FROM dense_local52 UNION SELECT qid, item_id FROM dense_top52 WHERE rank <= 50",
+    "parts52": PARTS["parts"] + " UNION ALL SELECT qid, item_id, 'dense', 0.0, 'dense_source', 1 FROM dense_pairs52",
+    "merged52": PARTS["merged"].replace("FROM parts", ", min(place) FILTER (source = 'dense_source') AS dense_source FROM parts52"),
+    "wide52": PARTS["wide"].replace("FROM merged m", "FROM merged52 m"),
+    "scored52": PARTS["scored"].replace("FROM wide", "FROM wide52") + " OR dense_source IS NOT NULL",
+}
+
 
 def sql(select: str, **extra: str) -> str:
     """select with every named part that it needs, directly or not, in front."""

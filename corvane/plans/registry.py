@@ -23,6 +23,8 @@ from .retrieval import Behavior, Index, Limits, improved_features, legacy_featur
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Reference SQL before its named parts are put in front.
+ORACLES_PLAIN: dict[str, str] = {}
 
 #: The selected settings of the linear score.
 SELECTED = candidates.Settings(
@@ -67,11 +69,11 @@ class World:
 
     @cached_property
     def dense_top(self) -> DataFrame:
-        return self.keep(dense.global_top(self.query_vectors, self.vectors, 100), "dense")
+        return self.keep(dense.global_top(self.query_vectors, self.vectors), "dense")
 
     @property
     def dense_local(self) -> DataFrame:
-        return dense.local_top(self.query_vectors, self.vectors, 20)
+        return dense.local_top(self.query_vectors, self.vectors)
 
     @cached_property
     def _wide(self) -> DataFrame:
@@ -87,13 +89,17 @@ class World:
     def scored(self) -> DataFrame:
         return self._scored
 
+    def asked(self) -> DataFrame:
+        """The scored rows of queries that have relevant items, as units have."""
+        return self.scored().join(self.truth.select("qid"), "qid", "left_semi")
+
     def answered(self) -> DataFrame:
         return candidates.answers(self.scored(), self.queries, self.items)
 
-    def locality_rows(self) -> DataFrame:
+    def locality_rows(self, rows: DataFrame | None = None) -> DataFrame:
         mean = behavior.mean_locality(self.train)
         near = behavior.query_locality(self.queries, self.near16, behavior.locality(self.log.train, "key", 3.0), mean)
-        return features.with_locality(self.scored(), self.items, near, behavior.locality(self.train, "item_microcat_id", 20.0), mean)
+        return features.with_locality(self.scored() if rows is None else rows, self.items, near, behavior.locality(self.train, "item_microcat_id", 20.0), mean)
 
 
 @lru_cache(maxsize=4)
@@ -112,13 +118,16 @@ def query(reference: str | None = None, **parts: str):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(world(spark, sf_dir))
         if reference:
             ORACLES[f.__name__] = sql(reference, **parts)
+            ORACLES_PLAIN[f.__name__] = reference
         return f
 
     return register
 
 
 def r6(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+    """Six digits, halves away from zero, in binary arithmetic as the reference SQL's."""
+    scaled = lambda c: F.floor(F.abs(c) * 1e6 + 0.5) / 1e6
+    return [F.when(F.col(n) < 0, -scaled(F.col(n))).otherwise(scaled(F.col(n))).alias(n) for n in names]
 
 
 # sources and sinks ---------------------------------------------------------
@@ -270,7 +279,7 @@ _DISTANCE = f"ln(1 + 6371.0 * 2 * asin(sqrt(least(greatest({_HAVERSINE}, 0.0), 1
 
 @query(f"SELECT item_id, round({_DISTANCE}, 6) AS log_distance_km FROM items JOIN centers USING (item_location_id)")
 def number_distance(w):
-    x = w.items.join(F.broadcast(features.location_centers(w.items)), "item_location_id")  # one row per location
+    x = w.items.join(lexical.sized(features.location_centers(w.items)), "item_location_id")
     return x.select("item_id", F.round(numeric.log_distance_km(F.col("item_latitude"), F.col("item_longitude"), F.col("latitude"), F.col("longitude")), 6).alias("log_distance_km"))
 
 
@@ -521,27 +530,27 @@ def dense_candidates(w):
 
 
 @query(
-    """SELECT p.qid, p.item_id, round(c.score, 6) AS dense_cos, round(c.score - b.best, 6) AS dense_cos_minus_global_top1, round(ln(1 + coalesce(t.rank - 1, 100)), 6) AS dense_log_global_rank,
+    """SELECT p.qid, p.item_id, round(c.score, 6) AS dense_cos, round(c.score - b.best, 6) AS dense_cos_minus_global_top1, round(ln(1 + coalesce(t.rank - 1, 1000)), 6) AS dense_log_global_rank,
     round(c.score - coalesce(l.best, -1.0), 6) AS dense_cos_minus_local_top1, round(ln(1 + CASE WHEN l.best IS NULL THEN 1e5 ELSE len(list_filter(l.scores, lambda s: s > c.score)) END), 6) AS dense_log_local_rank
     FROM dense_pairs p JOIN cosines c USING (qid, item_id) JOIN (SELECT qid, max(score) AS best FROM cosines GROUP BY qid) b USING (qid) LEFT JOIN dense_top t USING (qid, item_id)
     LEFT JOIN (SELECT qid, max(score) AS best, list(score) AS scores FROM cosines WHERE same GROUP BY qid) l USING (qid)"""
 )
 def dense_features(w):
     near = w.dense_top
-    got = dense.features(dense.candidates(near, w.dense_local, 50), w.query_vectors, w.vectors, near, 100)
+    got = dense.features(dense.candidates(near, w.dense_local, 50), w.query_vectors, w.vectors, near)
     return got.select("qid", "item_id", *r6(*features.DENSE))
 
 
 @query(
     """SELECT qid, positive, item_id AS negative FROM (SELECT p.qid, p.positive, f.item_id FROM (SELECT qid, item_id AS positive FROM dense_top WHERE rank = 1) p
     JOIN (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS seat FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS place, count(*) OVER (PARTITION BY qid) AS n FROM cosines WHERE same)
-          WHERE n >= 12 AND place > 3 AND place <= least(32, n - 1) AND (qid, item_id) NOT IN (SELECT qid, item_id FROM dense_top WHERE rank <= 5) QUALIFY seat <= 9) f USING (qid))
+          WHERE n >= 30 AND place > 3 AND place <= least(50, n - 1) AND (qid, item_id) NOT IN (SELECT qid, item_id FROM dense_top WHERE rank <= 5) QUALIFY seat <= 27) f USING (qid))
     QUALIFY row_number() OVER (PARTITION BY qid, positive ORDER BY sha256(concat_ws(chr(31), '0', qid, positive, item_id))) = 1"""
 )
 def dense_hard_negatives(w):
     near = w.dense_top
     pairs = near.where("rank = 1").select("qid", F.col("item_id").alias("positive"))
-    return dense.hard_negatives(pairs, near.where("rank <= 5"), w.query_vectors, w.vectors, 3, 12, 20)
+    return dense.hard_negatives(pairs, near.where("rank <= 5"), w.query_vectors, w.vectors)
 
 
 @query()
@@ -604,7 +613,7 @@ def ranking_linear_score(w):
 )
 def ranking_censored_score(w):
     """Channel values count only within the pool."""
-    return candidates.scored(w.wide(), candidates.Settings(pool=60)).select("qid", "item_id", *r6("base_score"))
+    return candidates.scored(w.wide(), candidates.Settings(pool=60), 6).select("qid", "item_id", "base_score")
 
 
 @query("SELECT qid, item_id, rank FROM answered")
@@ -664,20 +673,20 @@ def feature_metadata(w):
 
 @query("SELECT qid, item_id, CASE WHEN list_contains(relevant_items, item_id) THEN 1 ELSE 0 END AS label, round(CASE WHEN list_contains(relevant_items, item_id) THEN 100.0 / greatest(1, len(relevant_items)) ELSE 1.0 END, 6) AS weight FROM scored JOIN truth USING (qid)")
 def feature_labels(w):
-    return features.labelled(w.scored(), w.truth).select("qid", "item_id", "label", *r6("weight"))
+    return features.labelled(w.asked(), w.truth).select("qid", "item_id", "label", *r6("weight"))
 
 
 @query(
     """SELECT qid, item_id, label FROM (SELECT s.qid, s.item_id, CASE WHEN list_contains(relevant_items, s.item_id) THEN 1 ELSE 0 END AS label, row_number() OVER (PARTITION BY s.qid ORDER BY base_score DESC, s.item_id) AS best,
-    row_number() OVER (PARTITION BY s.qid ORDER BY sha256(concat_ws(chr(31), '0', s.qid, s.item_id))) AS drawn FROM scored s JOIN truth t ON t.qid = s.qid) WHERE best <= 40 OR drawn <= 20 OR label = 1"""
+    row_number() OVER (PARTITION BY s.qid ORDER BY sha256(concat_ws(chr(31), '0', s.qid, s.item_id))) AS drawn FROM scored s JOIN truth t ON t.qid = s.qid) WHERE best <= 200 OR drawn <= 50 OR label = 1"""
 )
 def feature_training_sample(w):
-    return features.sampled(features.labelled(w.scored(), w.truth), 40, 20).select("qid", "item_id", "label")
+    return features.sampled(features.labelled(w.asked(), w.truth), 200, 50).select("qid", "item_id", "label")
 
 
-def _prepared(w: World) -> DataFrame:
+def _prepared(w: World, rows: DataFrame | None = None) -> DataFrame:
     """All 47 features of the eligible rows."""
-    rows = w.keep(features.row_matrix(w.locality_rows()), "rows")
+    rows = w.keep(features.row_matrix(w.locality_rows(rows)), "rows")
     meta = features.metadata(rows, w.queries, w.items, features.location_centers(w.items))
     terms = w.index.query_words(w.queries).select(F.col("doc").alias("qid"), "term").join(w.index.vocabulary.select("term", "idf"), "term")
     cover = lexical.coverage(rows, terms, w.index.word_postings, w.index.title_postings)
@@ -685,18 +694,53 @@ def _prepared(w: World) -> DataFrame:
     return w.keep(rows.join(meta, ["qid", "item_id"]).join(cover, ["qid", "item_id"]).join(size, "item_id"), "prepared")
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT qid) AS queries, round(sum(base_score), 3) AS base FROM scored")
+def _features_sql(scored: str, extra: str = "", joins: str = "") -> str:
+    """The 47 features of the rows of `scored`, and perhaps more, each rounded."""
+    raw = ", ".join(f"round(s.{n}, 6) AS {n}" for n in features.SCHEMAS["metadata"][:10])
+    own = ORACLES_PLAIN["feature_row_matrix"].replace("FROM scored", f"FROM {scored}")
+    local = ORACLES_PLAIN["feature_locality"].replace("FROM scored", f"FROM {scored}")
+    meta = ORACLES_PLAIN["feature_metadata"].replace("FROM word_top", f"FROM {scored}")
+    cover = _COVER.replace("FROM filter_top c", f"FROM {scored} c")
+    size = "SELECT item_id, length_norm AS word_vocab_bm25_length_norm FROM (" + ORACLES_PLAIN["lexical_document_sizes"] + ")"
+    return (
+        f"SELECT s.qid, s.item_id, {raw}, m.* EXCLUDE (qid, item_id), l.* EXCLUDE (qid, item_id), d.* EXCLUDE (qid, item_id), c.* EXCLUDE (qid, item_id), z.word_vocab_bm25_length_norm{extra} FROM {scored} s "
+        f"JOIN ({own}) m ON m.qid = s.qid AND m.item_id = s.item_id JOIN ({local}) l ON l.qid = s.qid AND l.item_id = s.item_id JOIN ({meta}) d ON d.qid = s.qid AND d.item_id = s.item_id "
+        f"JOIN ({cover}) c ON c.qid = s.qid AND c.item_id = s.item_id JOIN ({size}) z ON z.item_id = s.item_id{joins}"
+    )
+
+
+@query(_features_sql("scored"))
 def feature_prepared_47(w):
-    names = features.SCHEMAS["metadata"]
-    x = _prepared(w).select("qid", "item_id", *names)
-    return x.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("qid").alias("queries"), F.round(F.sum("base_score"), 3).alias("base"))
+    return _prepared(w).select("qid", "item_id", *r6(*features.SCHEMAS["metadata"]))
+
+
+_DENSE_SQL = """SELECT p.qid, p.item_id, round(c.score, 6) AS dense_cos, round(c.score - b.best, 6) AS dense_cos_minus_global_top1, round(ln(1 + coalesce(t.rank - 1, 1000)), 6) AS dense_log_global_rank,
+    round(c.score - coalesce(l.best, -1.0), 6) AS dense_cos_minus_local_top1, round(ln(1 + CASE WHEN l.best IS NULL THEN 1e5 ELSE len(list_filter(l.scores, lambda s: s > c.score)) END), 6) AS dense_log_local_rank
+    FROM scored52 p JOIN cosines52 c USING (qid, item_id) JOIN (SELECT qid, max(score) AS best FROM cosines52 GROUP BY qid) b USING (qid) LEFT JOIN dense_top52 t USING (qid, item_id)
+    LEFT JOIN (SELECT qid, max(score) AS best, list(score) AS scores FROM cosines52 WHERE same GROUP BY qid) l USING (qid)"""
+
+
+#: Too slow on whole tables; a test holds the query against it on the smallest ones.
+PREPARED_52 = sql(_features_sql("scored52", ", v.* EXCLUDE (qid, item_id)", f" JOIN ({_DENSE_SQL}) v ON v.qid = s.qid AND v.item_id = s.item_id"))
+
+
+@query()
+def feature_prepared_52(w):
+    """Dense candidates in the pool, and the five dense features beside the 47."""
+    asked, held = fixtures.search_vectors(w.spark, w.sf_dir), fixtures.item_vectors(w.spark, w.sf_dir)
+    near = w.keep(dense.global_top(asked, held), "dense")
+    pool = dense.candidates(near, dense.local_top(asked, held), 50)
+    rows = w.keep(candidates.scored(improved_features(w.queries, w.index, w.log, pool), SELECTED), "scored")
+    x = _prepared(w, rows)
+    five = dense.features(x, asked, held, near)
+    return x.join(five, ["qid", "item_id"]).select("qid", "item_id", *r6(*features.SCHEMAS["dense"]))
 
 
 @query()
 def model_blended_answers(w):
     """Boosted trees on a sample of labelled rows, blended with the linear score."""
     rows = features.labelled(_prepared(w), w.truth)
-    fitted = model.train(features.sampled(rows, 60, 20), "metadata", model.Boosting(rounds=5, depth=3, rate=0.1, least_rows=5))
+    fitted = model.train(features.sampled(rows, 200, 50), "metadata", model.Boosting(rounds=5, depth=3, rate=0.1, least_rows=5))
     return model.ranked(rows, w.queries, w.items, fitted, "metadata", 0.2).select("qid", "item_id", "rank")
 
 
@@ -715,12 +759,13 @@ def evaluation_units(w):
     return w.units.select("qid", "search_query", "search_location_id", "search_category", F.size("relevant_items").cast("long").alias("relevant"), F.element_at("relevant_items", 1).alias("first"))
 
 
-@query("SELECT (SELECT count(*) FROM units) AS units, (SELECT count(*) FROM past) AS history, 0::BIGINT AS leaked")
+@query("SELECT (SELECT count(*) FROM units) AS units, (SELECT count(*) FROM past) AS history, (SELECT count(DISTINCT u.key) FROM (SELECT key FROM keyed WHERE key IN (SELECT key FROM folded WHERE fold = 2)) u JOIN (SELECT key FROM past) p USING (key)) AS leaked, (SELECT count(DISTINCT key) FROM folded WHERE fold = 2) AS leaked_without_split")
 def evaluation_cold_split(w):
     evaluation.assert_cold(w.units, w.past)
     evaluation.assert_folds(w.past, [2, 3])
     one = w.units.agg(F.count(F.lit(1)).alias("units")).join(F.broadcast(w.past.agg(F.count(F.lit(1)).alias("history"))))
-    return one.withColumn("leaked", F.lit(evaluation.leaked_texts(w.units, w.past)).cast("long"))
+    without = evaluation.leaked_texts(w.units, w.train)  # the whole log holds every text of the units
+    return one.withColumn("leaked", F.lit(evaluation.leaked_texts(w.units, w.past)).cast("long")).withColumn("leaked_without_split", F.lit(without).cast("long"))
 
 
 @query("SELECT qid FROM units ORDER BY sha256('fresh' || chr(30) || concat_ws(chr(31), search_query, search_location_id, search_is_delivery_search, search_infm_params_text, search_category)) LIMIT 15")
@@ -855,23 +900,33 @@ def audit_ids(w):
     return validation.id_audit(w.train, w.queries.withColumnRenamed("qid", "query_id"), w.items)
 
 
+_SPOILT = """SELECT * FROM (SELECT qid AS query_id, string_agg(item_id, ' ' ORDER BY rank) AS answer FROM answered GROUP BY qid) UNION ALL SELECT qid, string_agg(item_id, ' ' ORDER BY rank) FROM answered WHERE qid < '4' GROUP BY qid
+    UNION ALL SELECT * FROM (VALUES ('NOT-AN-ID', ''), ('0123456789abcdef', 'ffffffffffffffff'), ('0123456789abcde0', 'xyz  ffffffffffffffff'), ('0123456789abcde1', 'ffffffffffffffff ffffffffffffffff '))"""
+
+
 @query(
-    """SELECT (SELECT count(DISTINCT qid) FROM answered) AS rows, 0::BIGINT AS duplicate_queries, 0::BIGINT AS invalid_query_ids, 0::BIGINT AS invalid_separator, 0::BIGINT AS over_limit, 0::BIGINT AS duplicate_items, 0::BIGINT AS invalid_items,
-    0::BIGINT AS empty_answers, 50 AS max_items, 0::BIGINT AS unknown_items, 0::BIGINT AS missing_queries, 0::BIGINT AS unexpected_queries, (SELECT count(*) FROM queries) AS expected_rows"""
+    """SELECT count(*) AS rows, count(*) - count(DISTINCT query_id) AS duplicate_queries, count(*) FILTER (NOT regexp_full_match(query_id, '[0-9a-f]{16}')) AS invalid_query_ids,
+    count(*) FILTER (answer <> '' AND (answer LIKE ' %' OR answer LIKE '% ' OR answer LIKE '%  %')) AS invalid_separator, count(*) FILTER (len(ids) > 50) AS over_limit, count(*) FILTER (len(ids) <> len(list_distinct(ids))) AS duplicate_items,
+    sum(len(list_filter(ids, lambda x: NOT regexp_full_match(x, '[0-9a-f]{16}'))))::BIGINT AS invalid_items, count(*) FILTER (answer = '') AS empty_answers, max(len(ids))::INT AS max_items,
+    (SELECT count(*) FROM (SELECT unnest(ids) AS item_id FROM cut) WHERE item_id NOT IN (SELECT item_id FROM items)) AS unknown_items, (SELECT count(DISTINCT qid) FROM queries WHERE qid NOT IN (SELECT query_id FROM spoilt)) AS missing_queries,
+    (SELECT count(DISTINCT query_id) FROM spoilt WHERE query_id NOT IN (SELECT qid FROM queries)) AS unexpected_queries, (SELECT count(*) FROM queries) AS expected_rows FROM cut""",
+    spoilt=_SPOILT + " EXCEPT ALL SELECT * FROM (SELECT qid, string_agg(item_id, ' ' ORDER BY rank) FROM answered WHERE qid > 'e' GROUP BY qid)",
+    cut="SELECT *, CASE WHEN answer = '' THEN [] ELSE string_split(answer, ' ') END AS ids FROM spoilt",
 )
 def audit_answer(w):
-    answer = sources.answer_rows(w.answered()).withColumnRenamed("qid", "query_id")
-    return validation.answer_counts(answer, w.queries.withColumnRenamed("qid", "query_id"), w.items)
+    """Answers with every kind of fault among them: repeated, lacking, unknown and malformed ones."""
+    whole = sources.answer_rows(w.answered()).withColumnRenamed("qid", "query_id")
+    wrong = [("NOT-AN-ID", ""), ("0123456789abcdef", "f" * 16), ("0123456789abcde0", "xyz  " + "f" * 16), ("0123456789abcde1", ("f" * 16 + " ") * 2)]
+    spoilt = whole.where("query_id <= 'e'").union(whole.where("query_id < '4'")).union(w.spark.createDataFrame(wrong, "query_id string, answer string"))
+    return validation.answer_counts(spoilt, w.queries.withColumnRenamed("qid", "query_id"), w.items)
 
 
-@query("SELECT item_id, item_category_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY item_category_id) AS k FROM (SELECT item_id, item_category_id FROM train)) WHERE k = 1")
+@query("SELECT item_id, item_title_raw, item_category_id, item_price FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY item_title_raw, item_category_id, item_price NULLS FIRST) AS k FROM twice) WHERE k = 1", twice="SELECT item_id, item_title_raw, item_category_id, round(item_price, 6) AS item_price FROM items UNION ALL SELECT item_id, item_title_raw || ' again', item_category_id + 1, 1.0 FROM items WHERE item_category_id < 3")
 def deduplicated_items(w):
-    """The first row of each id in a stated order."""
-    t = w.train.select("item_id", "item_category_id")
-    return t.groupBy("item_id").agg(F.min("item_category_id").alias("item_category_id"))
-
-
-# streaming -----------------------------------------------------------------------
+    """The first row of each id, in order of the other columns; a third of the catalog is there twice."""
+    x = w.items.select("item_id", "item_title_raw", "item_category_id", *r6("item_price"))
+    again = x.where("item_category_id < 3").select("item_id", F.concat("item_title_raw", F.lit(" again")), F.col("item_category_id") + 1, F.lit(1.0))
+    return evaluation.keep_first(x.union(again))
 
 
 @query(_RANKED + "(" + top("word_top", 10, tie="item_id").replace("SELECT *, row_number()", "SELECT qid, item_id, score, row_number()") + ")")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CATEGORIES, MICROCATS, LOCATIONS, CLICKED_DOCS = 7, 40, 20, 200
+CATEGORIES, MICROCATS, LOCATIONS, VECTOR_LOCATIONS = 7, 40, 20, 5
 
 
 def hex_id(kind: str, c: Column) -> Column:
@@ -39,7 +39,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(k: Column, text: Column, variant: Column) -> list[Column]:
     return [
-        F.concat(F.substring(text, 1, 40), F.lit(" "), variant).alias("search_query"),
+        F.concat(text, F.lit(" "), variant).alias("search_query"),
         ((k * 7) % LOCATIONS).alias("search_location_id"),
         (k % 2 == 0).alias("search_is_delivery_search"),
         F.concat(F.lit("en src"), ((k * 7) % LOCATIONS).cast("string")).alias("search_infm_params_text"),
@@ -54,22 +54,42 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks: the search columns of a benchmark passage and the columns of a document."""
+    """Clicks: the search columns of a benchmark passage and the columns of a document. Events are dealt over all passages and all documents."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("b_id"), F.col("text").alias("b_text"))
-    e = e.select("event_type", (F.col("user_id") % 40).alias("b_id"), hex_id("i", (F.col("event_id") * 13 + F.col("user_id")) % CLICKED_DOCS).alias("item_id"))
+    passages, docs = b.count(), spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    e = e.select("event_type", (F.col("user_id") % passages).alias("b_id"), hex_id("i", (F.col("event_id") * 13 + F.col("user_id")) % docs).alias("item_id"))
     log = e.join(b, "b_id").select(*_search(F.col("b_id"), F.col("b_text"), F.col("event_type")), "item_id")
-    # at most CLICKED_DOCS items are clicked
-    clicked = items(spark, sf_dir).join(F.broadcast(spark.range(CLICKED_DOCS).select(hex_id("i", F.col("id")).alias("item_id"))), "item_id", "left_semi")
-    return log.join(F.broadcast(clicked), "item_id")
+    return log.join(items(spark, sf_dir), "item_id")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, location, vector: the embeddings that are divisible by 3 or leave 1."""
+    """item_id, location, vector of every embedding."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return v.where("vec_id % 3 < 2").select(hex_id("i", F.col("vec_id")).alias("item_id"), (F.col("vec_id") % LOCATIONS).alias("location"), F.col("embedding").alias("vector"))
+    return v.select(hex_id("i", F.col("vec_id")).alias("item_id"), (F.col("vec_id") % VECTOR_LOCATIONS).alias("location"), F.col("embedding").alias("vector"))
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings whose id is divisible by 20, which ask for all embeddings, themselves included."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return v.where("vec_id % 3 = 2").select(hex_id("q", F.col("vec_id")).alias("qid"), (F.col("vec_id") * 7 % LOCATIONS).alias("location"), F.col("embedding").alias("vector"))
+    k = F.floor(F.col("vec_id") / 20)
+    return v.where("vec_id % 20 = 0").select(hex_id("q", F.col("vec_id")).alias("qid"), (k * 7 % VECTOR_LOCATIONS).alias("location"), F.col("embedding").alias("vector"))
+
+
+def _dealt_vectors(spark: SparkSession, sf_dir: str, owners: DataFrame, place: Column) -> DataFrame:
+    """owners (k and more) with a vector each: the embeddings in turn."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return owners.withColumn("vec_id", place % v.count()).join(v.select("vec_id", F.col("embedding").alias("vector")), "vec_id").drop("vec_id", "k")
+
+
+def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, location, vector of every item."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("k"), F.regexp_extract("source", "[0-9]+", 0).cast("long").alias("location"))
+    return _dealt_vectors(spark, sf_dir, d.withColumn("item_id", hex_id("i", F.col("k"))), F.col("k")).select("item_id", "location", "vector")
+
+
+def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, location, vector of every query."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("k"))
+    b = b.select("k", hex_id("q", F.col("k")).alias("qid"), (F.col("k") * 7 % LOCATIONS).alias("location"))
+    return _dealt_vectors(spark, sf_dir, b, F.col("k") * 3 + 1).select("qid", "location", "vector")
