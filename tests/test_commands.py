@@ -51,3 +51,20 @@ def test_configurations_are_checked():
             commands.RerankerConfig(**wrong)
     assert not commands.reranker_enabled({"gate": {"pass": False}}) and commands.reranker_enabled({"gate": {"pass": True}})
     assert commands.settings_of({"selected_weights": {"char": 9.0}}).weights["char"] == 9.0 and commands.settings_of(None) == Settings()
+
+
+def test_the_gate_fails_where_a_check_fails(spark, folder):
+    """Units that are not the expected ones, and a pool that lacks the baseline's candidates."""
+    config = commands.RerankerConfig(schema="locality", training_units=8, evaluation_units=8, evaluation_folds=(3,), boosting=Boosting(2, 2, 0.1, 1), unit_hashes={3: "other"}, baseline=Settings(exact_rescore=True, geo_neighbors=3, pool=20))
+    got = commands.evaluate_reranker(spark, folder, Settings(exact_rescore=True, pool=2), config, LIMITS)
+    assert not got["gate"]["hashes"] and not got["gate"]["contract"] and not got["gate"]["pass"]
+    assert got["candidate_universes"][3]["baseline"] != got["candidate_universes"][3]["candidate"]
+    again = commands.reranker_of(json.loads(json.dumps(got)))
+    assert again == config
+
+
+def test_command_line_takes_weights_and_configurations(spark, folder, tmp_path):
+    (tmp_path / "limits.json").write_text(json.dumps({"pool": 20, "fallback": 10, "top_k": 10, "geo": [3, 5]}))
+    args = ["predict", "--data-dir", folder, "--output", f"{tmp_path}/answer", "--config", f"{tmp_path}/limits.json", "--weights-json", '{"word": 2.0}']
+    assert cli.main(args) == 0
+    assert all(len(r["answer"].split(" ")) == 10 for r in io.read_answer(spark, f"{tmp_path}/answer").collect())

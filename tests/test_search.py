@@ -297,3 +297,23 @@ def test_the_bootstrap_draws_as_often_as_the_reference(spark, monkeypatch):
     monkeypatch.setattr(registry.evaluation, "cluster_bootstrap", lambda strata, draws=10_000, seed=0: drawn.append(draws) or (0.0, 0.0))
     assert registry.QUERIES["evaluation_bootstrap"](spark, "").count() == 3
     assert drawn == [10_000, 10_000]
+
+
+def test_the_52_features_match_their_sql(spark):
+    import duckdb
+
+    from corvane.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    got = registry.QUERIES["feature_prepared_52"](spark, sf)
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "events", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    expected = c.sql(registry.PREPARED_52).df().sort_values(["qid", "item_id"]).reset_index(drop=True)
+    names = sorted(got.columns)
+    assert names == sorted(expected.columns) and len(names) == 54
+    mine = got.toPandas().sort_values(["qid", "item_id"]).reset_index(drop=True)
+    assert mine[["qid", "item_id"]].equals(expected[["qid", "item_id"]])
+    for n in set(names) - {"qid", "item_id"}:
+        a, b = mine[n].astype(float), expected[n].astype(float)
+        assert ((a - b).abs() < 2e-6).where(a.notna() & b.notna(), a.isna() & b.isna()).all(), n
