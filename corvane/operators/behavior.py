@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import log_share, smoothed
-from .lexical import sized, top
+from .lexical import sized, together, top
 
 
 def keyed(train: DataFrame, normalize) -> DataFrame:
@@ -67,7 +67,7 @@ def history_channel(queries: DataFrame, past: DataFrame, neighbors: DataFrame) -
     """
     same = queries.join(sized(past), "key").select("qid", "item_id", F.col("click").alias("score"))
     near = neighbors.join(sized(past), "key").select("qid", "item_id", (F.col("score") * F.col("click")).alias("score"))
-    return same.union(near).groupBy("qid", "item_id").agg(F.max("score").alias("score")).where("score > 0")
+    return together(same, near).groupBy("qid", "item_id").agg(F.max("score").alias("score")).where("score > 0")
 
 
 def microcat_distribution(train: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexical import DIGITS, sized, top
+from .lexical import DIGITS, sized, together, top
 
 #: Values of a candidate, in the order of a packed row.
 VALUES = ["word", "char", "filter", "history", "category", "location", "popularity", "exact_word", "exact_char", "exact_filter", "title", "microcat"]
@@ -37,9 +37,7 @@ def marker(found: DataFrame, source: str) -> DataFrame:
 
 def merged(parts: list[DataFrame], values: list[str], sources: list[str]) -> DataFrame:
     """One row per qid and item_id: the largest positive value of each channel (else 0) and the least rank of each source (else null)."""
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rows = together(*parts)
     value = [F.coalesce(F.max(F.when((F.col("channel") == v) & (F.col("value") > 0), F.col("value"))), F.lit(0.0)).alias(v) for v in values]
     rank = [F.min(F.when(F.col("source") == s, F.col("place"))).alias(s) for s in sources]
     live = (F.col("value") > 0) | F.col("channel").isNull()
@@ -100,6 +98,6 @@ def answers(ranked: DataFrame, queries: DataFrame, catalog: DataFrame, top_k: in
     # top_k smallest ids are enough to fill any answer
     spare = F.broadcast(catalog.select("item_id").distinct().orderBy("item_id").limit(top_k))
     more = queries.select("qid").join(spare).join(best.select("qid", "item_id"), ["qid", "item_id"], "left_anti").select("qid", "item_id", F.lit(None).cast("double").alias("s"), F.lit(1).alias("fill"))
-    every = best.unionByName(more).withColumn("key", F.coalesce(F.col("s"), F.lit(float("-inf"))))
+    every = together(best, more).withColumn("key", F.coalesce(F.col("s"), F.lit(float("-inf"))))
     out = top(every, top_k, score="key")
     return out.select("qid", "item_id", F.col("rank").cast("int").alias("rank"), F.col("fill").alias("filled"))

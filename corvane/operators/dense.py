@@ -1,7 +1,10 @@
 """Dense search: exact nearest neighbours, candidates, features and hard negatives.
 
-Item vectors stay where they lie; blocks of query vectors of a fixed size go to
-them, each task keeps its own top per query, and a window ranks what is left.
+A query set of one block goes to the items, which stay where they lie. Larger
+sets and searches within locations meet the items in tiles: a block of queries
+and a group of items of one location, both of bounded size, so neither a large
+location nor a large query set is one task. A tile gives each query's own top (or
+counts of items ahead), never its pairs.
 """
 
 from __future__ import annotations
@@ -15,102 +18,201 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dot, unit
-from .lexical import DIGITS, sized, top
+from .lexical import DIGITS, sized, together, top
 
-#: Queries of a block; a block's vectors are what a task holds besides a batch of items.
-BLOCK = 2_048
+#: Queries and items of a tile, and items that are scored at once.
+BLOCK, GROUP, CHUNK = 1_024, 65_536, 1_024
+#: Query vectors up to which they are broadcast.
+BROADCAST_VECTORS = 10_000
 #: Rank of an item that no local vector precedes, where the query's location has no items.
 NO_LOCAL = 1e5
 
+_TOPS = "qid string, item_id string, score double"
+
+
+def _units(column: pa.Array) -> np.ndarray:
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+class _Tops:
+    """The best `depth` items of each query of a block, by score, then id. Holds a few times queries x depth scores."""
+
+    def __init__(self, ids: list[str], vectors: np.ndarray, depth: int) -> None:
+        self.ids, self.vectors, self.depth = ids, vectors, depth
+        self.least = np.full(len(ids), -np.inf)
+        self.names: list[str] = []
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = 0
+
+    def add(self, names: list[str], vectors: np.ndarray) -> None:
+        for at in range(0, len(names), CHUNK):
+            part = np.round(self.vectors @ vectors[at : at + CHUNK].T, DIGITS)
+            row, column = np.nonzero(part >= self.least[:, None])  # equal to the last one: the id decides
+            self.held.append((row, part[row, column], column + len(self.names)))
+            self.names += names[at : at + CHUNK]
+            self.rows += len(row)
+            if self.rows > 2 * self.depth * len(self.ids) + CHUNK:
+                self._cut()
+
+    def _cut(self) -> None:
+        row, score, name = (np.concatenate([h[k] for h in self.held]) if self.held else np.zeros(0, int) for k in range(3))
+        used, name = np.unique(name, return_inverse=True)
+        _, by_id = np.unique(np.array([self.names[k] for k in used], dtype=str), return_inverse=True)
+        order = np.lexsort((by_id[name], -score, row)) if len(row) else np.zeros(0, int)
+        row, score, name = row[order], score[order], name[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        self.least[row[place == self.depth - 1]] = score[place == self.depth - 1]
+        keep = place < self.depth
+        self.held = [(row[keep], score[keep], name[keep])]
+        self.names, self.rows = [self.names[k] for k in used], int(keep.sum())
+
+    def batch(self) -> pa.RecordBatch:
+        self._cut()
+        row, score, name = self.held[0]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([self.ids[k] for k in row], pa.string()), pa.array([self.names[k] for k in name], pa.string()), pa.array(score.astype(np.float64))],
+            names=["qid", "item_id", "score"],
+        )
+
+
+class _Ahead:
+    """Of each query of a block: the best score, and for each of its marks the items with a larger one."""
+
+    def __init__(self, ids: list[str], vectors: np.ndarray, marks: list[list[float]]) -> None:
+        self.ids, self.vectors, self.marks = ids, vectors, [np.array(m) for m in marks]
+        self.best = np.full(len(ids), -np.inf)
+        self.counts = [np.zeros(len(m), np.int64) for m in marks]
+
+    def add(self, names: list[str], vectors: np.ndarray) -> None:
+        for at in range(0, len(names), CHUNK):
+            part = np.sort(np.round(self.vectors @ vectors[at : at + CHUNK].T, DIGITS), axis=1)
+            self.best = np.maximum(self.best, part[:, -1])
+            for k, scores in enumerate(part):
+                self.counts[k] += len(scores) - np.searchsorted(scores, self.marks[k], side="right")
+
+    def batch(self) -> pa.RecordBatch:
+        n = [len(m) for m in self.marks]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(self.ids, n).tolist(), pa.string()), pa.array(np.concatenate(self.marks)), pa.array(np.concatenate(self.counts)), pa.array(np.repeat(self.best, n))],
+            names=["qid", "cosine", "ahead", "local_best"],
+        )
+
+
+def _scan(queries: DataFrame, items: DataFrame, depth: int) -> DataFrame:
+    """Tops of each task's items for one block of queries, which travels with the plan."""
+    rows = queries.select("qid", "vector").collect()
+    ids = [r["qid"] for r in rows]
+    block = _units(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())))
 
-def _blocks(queries: DataFrame, extra: list[str]) -> Iterator[list]:
-    """The queries, a block at a time, on the driver."""
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    for k in range(blocks if n else 0):
-        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k).select("qid", *extra, "vector").collect()
-        if rows:
-            yield rows
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops = _Tops(ids, block, depth)
+        for batch in batches:
+            if batch.num_rows:
+                tops.add(batch.column(0).to_pylist(), _units(batch.column(1)))
+        yield tops.batch()
 
+    return items.select("item_id", "vector").mapInArrow(best, _TOPS)
 
-def _scan(items: DataFrame, rows: list, depth: int) -> DataFrame:
-    ids = [r["qid"] for r in rows]
-    block = np.array([r["vector"] for r in rows], dtype=np.float64)
-    block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-300)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[list[tuple[float, str]]] = [[] for _ in ids]
+def _tiles(queries: DataFrame, items: DataFrame, block: int, group: int) -> DataFrame:
+    """location, block, group, kind, id, vector, marks: the rows of a tile together, its queries (kind 0) before its items.
+
+    queries: qid, location, vector, marks; items: item_id, location, vector.
+    The blocks and groups of a location follow its counts; rows without a
+    location meet nothing.
+    """
+    sizes = queries.groupBy("location").agg(F.count(F.lit(1)).alias("queries")).join(items.groupBy("location").agg(F.count(F.lit(1)).alias("items")), "location")
+    sizes = sized(sizes.select("location", F.ceil(F.col("queries") / block).cast("int").alias("blocks"), F.ceil(F.col("items") / group).cast("int").alias("groups")))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    q = queries.join(sizes, "location").select("location", dealt("qid", "blocks").alias("block"), each("groups").alias("group"), F.lit(0).alias("kind"), F.col("qid").alias("id"), "vector", "marks")
+    i = items.join(sizes, "location").select("location", each("blocks").alias("block"), dealt("item_id", "groups").alias("group"), F.lit(1).alias("kind"), F.col("item_id").alias("id"), "vector", F.lit(None).cast("array<double>").alias("marks"))
+    tile = ["location", "block", "group"]
+    return together(q, i).repartition(*tile).sortWithinPartitions(*tile, "kind")
+
+
+def _matched(made: Callable[[list, np.ndarray, list], _Tops | _Ahead]):
+    """The batch of each tile; one tile's queries and one batch of items are held."""
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, pa.RecordBatch]]:
         for batch in batches:
-            if not batch.num_rows:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
+            begin = 0
+            for k in range(1, len(keys) + 1):
+                if k == len(keys) or keys[k] != keys[begin]:
+                    yield keys[begin][:3], keys[begin][3], batch.slice(begin, k - begin)
+                    begin = k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, asked, now = None, [], None
+        for key, kind, part in slices(batches):
+            if key != tile:
+                if now is not None:
+                    yield now.batch()
+                tile, asked, now = key, [], None
+            if kind == 0:
+                asked.append(part)
                 continue
-            names = batch.column(0).to_pylist()
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            v = flat.reshape(batch.num_rows, -1)
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            scores = np.round(block @ v.T, DIGITS)
-            for k, row in enumerate(scores):
-                if len(row) > depth:  # all at the cut stay, so ties are decided by id
-                    cut = np.partition(row, len(row) - depth)[len(row) - depth]
-                    chosen = np.flatnonzero(row >= cut)
-                else:
-                    chosen = np.arange(len(row))
-                kept[k] += [(-row[j], names[j]) for j in chosen]
-                if len(kept[k]) > 4 * depth:
-                    kept[k] = sorted(kept[k])[:depth]
-        out = [(ids[k], name, -s) for k, own in enumerate(kept) for s, name in sorted(own)[:depth]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["qid", "item_id", "score"])
-
-    return items.select("item_id", "vector").mapInArrow(best, "qid string, item_id string, score double")
-
-
-def global_top(queries: DataFrame, items: DataFrame, depth: int = 1000) -> DataFrame:
-    """qid, item_id, score, rank over all items, by cosine, then id. Vectors need not be of length one."""
-    found = None
-    for rows in _blocks(queries, []):
-        part = _scan(items, rows, depth)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return queries.select("qid", F.lit("").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+            if now is None and asked:
+                ids, marks = ([x for p in asked for x in p.column(k).to_pylist()] for k in (4, 6))
+                now = made(ids, np.concatenate([_units(p.column(5)) for p in asked]), marks)
+            if now is not None:
+                now.add(part.column(4).to_pylist(), _units(part.column(5)))
+        if now is not None:
+            yield now.batch()
+
+    return run
+
+
+def _tiled_top(queries: DataFrame, items: DataFrame, depth: int, block: int, group: int) -> DataFrame:
+    asked = queries.withColumn("marks", F.lit(None).cast("array<double>"))
+    found = _tiles(asked, items, block, group).mapInArrow(_matched(lambda ids, vectors, _: _Tops(ids, vectors, depth)), _TOPS)
     return top(found, depth)
 
 
+def global_top(queries: DataFrame, items: DataFrame, depth: int = 1000, block: int = BLOCK, group: int = GROUP) -> DataFrame:
+    """qid, item_id, score, rank over all items, by cosine, then id. Vectors need not be of length one; null ones are left out."""
+    q, i = queries.select("qid", "vector").where("vector is not null"), items.select("item_id", "vector").where("vector is not null")
+    n = q.limit(block + 1).count()
+    if not n:
+        return queries.select("qid", F.lit("").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    if n <= block:
+        return top(_scan(q, i, depth), depth)
+    one = F.lit(0).alias("location")
+    return _tiled_top(q.select("*", one), i.select("*", one), depth, block, group)
+
+
 def scores(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
     """pairs with cosine."""
-    q = sized(queries.select("qid", unit(F.col("vector")).alias("qv")))
+    q = sized(queries.select("qid", unit(F.col("vector")).alias("qv")), BROADCAST_VECTORS)
     i = items.select("item_id", unit(F.col("vector")).alias("iv"))
     return pairs.join(i, "item_id").join(q, "qid").withColumn("cosine", F.round(dot(F.col("qv"), F.col("iv")), DIGITS)).drop("qv", "iv")
 
 
-def local_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """qid, item_id, score of every item in the query's location."""
-    q = sized(queries.select("qid", "location", unit(F.col("vector")).alias("qv")))
-    i = items.select("item_id", "location", unit(F.col("vector")).alias("iv"))
-    return i.join(q, "location").select("qid", "item_id", F.round(dot(F.col("qv"), F.col("iv")), DIGITS).alias("score"))
-
-
-def local_top(queries: DataFrame, items: DataFrame, limit: int = 200) -> DataFrame:
-    return top(local_scores(queries, items), limit)
+def local_top(queries: DataFrame, items: DataFrame, limit: int = 200, block: int = BLOCK, group: int = GROUP) -> DataFrame:
+    """qid, item_id, score, rank over the items of each query's location."""
+    q, i = queries.select("qid", "location", "vector").where("vector is not null"), items.select("item_id", "location", "vector").where("vector is not null")
+    return _tiled_top(q, i, limit, block, group)
 
 
 def candidates(near: DataFrame, local: DataFrame, from_global: int = 50) -> DataFrame:
     """qid, item_id: the local items and the first of the global ones, each once."""
-    return local.select("qid", "item_id").union(near.where(F.col("rank") <= from_global).select("qid", "item_id")).distinct()
+    return together(local.select("qid", "item_id"), near.where(F.col("rank") <= from_global).select("qid", "item_id")).distinct()
 
 
-def features(pairs: DataFrame, queries: DataFrame, items: DataFrame, near: DataFrame, depth: int = 1000) -> DataFrame:
+def features(pairs: DataFrame, queries: DataFrame, items: DataFrame, near: DataFrame, depth: int = 1000, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """qid, item_id and five features: cosine, less the best, log global rank, less the local best, log of local items ahead."""
     c = scores(pairs.select("qid", "item_id"), queries, items)
     best = near.where("rank = 1").select("qid", F.col("score").alias("best"))
     ranks = near.select("qid", "item_id", (F.col("rank") - 1).alias("place"))
-    c = c.join(sized(best), "qid", "left").join(ranks, ["qid", "item_id"], "left")
-    local = local_scores(queries, items).select("qid", F.col("score").alias("ahead"))
-    # one ordering of local and candidate scores per query counts the local ones strictly ahead
-    marked = local.select("qid", F.col("ahead").alias("s"), F.lit(None).cast("string").alias("item_id"), F.lit(1).alias("own"))
-    marked = marked.union(c.select("qid", F.col("cosine").alias("s"), "item_id", F.lit(0).alias("own")))
-    order = Window.partitionBy("qid").orderBy(F.desc("s"))
-    marked = marked.withColumn("ahead", F.coalesce(F.sum("own").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)) - F.sum("own").over(Window.partitionBy("qid", "s")))
-    marked = marked.withColumn("local_best", F.max(F.when(F.col("own") == 1, F.col("s"))).over(Window.partitionBy("qid")))
-    c = c.join(marked.where("own = 0").select("qid", "item_id", "ahead", "local_best"), ["qid", "item_id"])
+    # a query takes its candidates' scores to the tiles of its location, which count the items strictly ahead of each
+    marks = c.groupBy("qid").agg(F.array_sort(F.collect_set("cosine")).alias("marks"))
+    asked = queries.where("vector is not null").select("qid", "location", "vector").join(marks, "qid")
+    held = items.where("vector is not null").select("item_id", "location", "vector")
+    ahead = _tiles(asked, held, block, group).mapInArrow(_matched(_Ahead), "qid string, cosine double, ahead long, local_best double")
+    ahead = ahead.groupBy("qid", "cosine").agg(F.sum("ahead").alias("ahead"), F.max("local_best").alias("local_best"))
+    c = c.join(sized(best), "qid", "left").join(ranks, ["qid", "item_id"], "left").join(ahead, ["qid", "cosine"], "left")
     return c.select(
         "qid", "item_id", F.col("cosine").alias("dense_cos"),
         (F.col("cosine") - F.col("best")).alias("dense_cos_minus_global_top1"),
@@ -127,9 +229,9 @@ def hard_negatives(pairs: DataFrame, clicked: DataFrame, queries: DataFrame, ite
     high + margin that were not clicked for the anchor; the first high - low of
     them are the pool. Locations of fewer than `high` items give none.
     """
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "item_id")
-    near = local_scores(queries, items).withColumn("place", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("qid")))
-    near = near.where((F.col("n") >= high) & (F.col("place") > low) & (F.col("place") <= F.least(F.lit(high + margin), F.col("n") - 1)))
+    n = items.where("vector is not null").groupBy("location").agg(F.count(F.lit(1)).alias("n"))
+    near = local_top(queries, items, high + margin).withColumnRenamed("rank", "place").join(queries.select("qid", "location").join(sized(n), "location"), "qid")
+    near = near.where((F.col("n") >= high) & (F.col("place") > low) & (F.col("place") <= F.col("n") - 1))
     free = near.join(clicked.select("qid", "item_id"), ["qid", "item_id"], "left_anti")
     free = free.withColumn("seat", F.row_number().over(Window.partitionBy("qid").orderBy("place"))).where(F.col("seat") <= high - low)
     drawn = pairs.select("qid", "positive").distinct().join(free.select("qid", "item_id"), "qid")

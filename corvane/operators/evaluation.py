@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_text, stable_fold, stable_rank, tokens
 from ..sources.schema import QUERY_COLUMNS
 from .candidates import Settings, linear_score, masks
-from .lexical import top
+from .lexical import together, top
 
 
 def with_fold(frame: DataFrame, modulus: int = 5, unicode: bool = True) -> DataFrame:
@@ -229,14 +229,14 @@ def fresh_samples(units: DataFrame, rounds: int, limit: int, seed: str, unicode:
         s = sample_units(units, limit, f"{seed}-{k}", used, unicode)
         out.append(s)
         keys = s.select(normalize_text(F.col("search_query"), unicode).alias("key"))
-        used = keys if used is None else used.union(keys)
+        used = keys if used is None else together(used, keys)
     return out
 
 
 def union_catalog(items: DataFrame, train: DataFrame) -> DataFrame:
     """The catalog and the log's other items; of an id, the catalog's row first, then the smallest of the log's."""
     columns = items.columns
-    both = items.withColumn("__from", F.lit(0)).unionByName(train.select(*columns).distinct().withColumn("__from", F.lit(1)))
+    both = together(items.withColumn("__from", F.lit(0)), train.select(*columns).distinct().withColumn("__from", F.lit(1)))
     return both.groupBy("item_id").agg(F.min(F.struct("__from", *[c for c in columns if c != "item_id"])).alias("r")).select(*[F.col("item_id") if c == "item_id" else F.col(f"r.{c}").alias(c) for c in columns])
 
 

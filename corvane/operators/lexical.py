@@ -18,9 +18,22 @@ BROADCAST_ROWS = 200_000
 DIGITS = 9
 
 
-def sized(frame: DataFrame) -> DataFrame:
+def sized(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """With a broadcast hint if it has few rows by count."""
-    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
+    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+
+
+def together(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The rows of all parts, by column name.
+
+    Spark 4.1 takes a union of parts that are partitioned alike for partitioned, and groups over it do not shuffle;
+    adaptive plans may still read one part differently, and then a group comes apart (one pair came out of a distinct
+    twice). The session's plans do without that.
+    """
+    first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    for other in others:
+        first = first.unionByName(other)
+    return first
 
 
 def term_counts(docs: DataFrame, doc: str, grams: Column) -> DataFrame:

@@ -163,9 +163,13 @@ def test_dense_search_is_exact(spark):
     near = dense.global_top(queries, items, 10)
     expected = {(f"q{a}", f"i{b:02}"): r + 1 for a in range(5) for r, b in enumerate(np.lexsort((np.arange(60), -s[a]))[:10])}
     assert table(near, "qid", "item_id", value="rank") == expected
+    assert table(dense.global_top(queries, items, 10, block=2, group=7), "qid", "item_id", value="rank") == expected
     local = dense.local_top(queries, items, 4)
     pairs = dense.candidates(near, local, 5)
+    assert table(dense.local_top(queries, items, 4, block=1, group=3), "qid", "item_id", value="rank") == table(local, "qid", "item_id", value="rank")
     f = {(r["qid"], r["item_id"]): r for r in dense.features(pairs, queries, items, near, 10).collect()}
+    assert {(r["qid"], r["item_id"]): r for r in dense.features(pairs, queries, items, near, 10, block=1, group=3).collect()} == f
+    assert len(f) == pairs.count()
     for (a, b), r in f.items():
         x, y = int(a[1:]), int(b[1:])
         own = [s[x, k] for k in range(60) if places[k] == (7 if x == 4 else x % 3)]
@@ -176,6 +180,31 @@ def test_dense_search_is_exact(spark):
     assert dense.global_top(queries.limit(0), items, 3).count() == 0
 
 
+@pytest.mark.parametrize("block, group", [(1_024, 65_536), (3, 11)])
+def test_dense_ties_go_by_id_in_a_hot_location_with_odd_rows(spark, monkeypatch, block, group):
+    """Many equal vectors, one location with most rows, null locations and vectors, a zero vector, chunks smaller than a tile."""
+    monkeypatch.setattr(dense, "CHUNK", 4)
+    kinds = unit_rows(4, 3, 9)
+    vectors = [None if k == 5 else [0.0] * 3 if k == 6 else kinds[k % 4].tolist() for k in range(90)]
+    places = [None if k == 7 else 1 if k % 9 else k for k in range(90)]
+    items = spark.createDataFrame([(f"i{k:02}", places[k], vectors[k]) for k in range(90)], "item_id string, location long, vector array<double>").repartition(5)
+    asked = [(f"q{k}", None if k == 3 else 1, None if k == 4 else kinds[k % 4].tolist()) for k in range(8)]
+    queries = spark.createDataFrame(asked, "qid string, location long, vector array<double>")
+
+    def best(local, depth):
+        out = {}
+        for q, place, v in asked:
+            if v is None or (local and place is None):
+                continue
+            scored = sorted((-round(float(np.dot(v, vectors[k])), 9), f"i{k:02}") for k in range(90) if vectors[k] is not None and (not local or places[k] == place))
+            out |= {(q, i): r + 1 for r, (_, i) in enumerate(scored[:depth])}
+        return out
+
+    assert table(dense.global_top(queries, items, 30, block, group), "qid", "item_id", value="rank") == best(False, 30)
+    assert table(dense.local_top(queries, items, 30, block, group), "qid", "item_id", value="rank") == best(True, 30)
+    assert dense.local_top(queries, items.limit(0), 3, block, group).count() == 0
+
+
 def test_hard_negatives_avoid_clicks(spark):
     q, i = unit_rows(3, 6, 3), unit_rows(40, 6, 4)
     queries = spark.createDataFrame([(f"q{k}", 0, v.tolist()) for k, v in enumerate(q)], "qid string, location long, vector array<double>")
