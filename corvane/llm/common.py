@@ -46,6 +46,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The files go when the driver's JVM ends.
     """
     spark = df.sparkSession
+    # Spark 4.1 may take a union of parts that are partitioned alike for partitioned; adaptive plans then break groups over it
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
