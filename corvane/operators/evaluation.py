@@ -72,8 +72,8 @@ def macro_recall(each: DataFrame) -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("queries"), F.avg("recall").alias("recall"))
 
 
-def unit_slices(units: DataFrame, history: DataFrame, items: DataFrame, unicode: bool = True) -> DataFrame:
-    """qid and the slices as booleans."""
+def unit_slices(units: DataFrame, history: DataFrame, items: DataFrame, unicode: bool = True, by_count: bool = False) -> DataFrame:
+    """qid and the slices as booleans; by_count: also by the number of relevant items, as a reranker is judged."""
     n = history.where("search_location_id is not null").groupBy("search_location_id").agg(F.count(F.lit(1)).alias("n"))
     half = F.broadcast(n.agg(F.coalesce(F.median("n"), F.lit(0.0)).alias("half")))  # one row
     seen = history.select("item_id").distinct().withColumn("seen", F.lit(True))
@@ -92,6 +92,9 @@ def unit_slices(units: DataFrame, history: DataFrame, items: DataFrame, unicode:
         "location_rare": rare, "location_common": ~rare, "relevant_all_history_seen": F.col("all_seen"), "relevant_has_unseen": ~F.col("all_seen"),
         "relevant_all_exact_location": F.col("all_local"), "relevant_has_cross_location": ~F.col("all_local"),
     }
+    if by_count:
+        single = F.size(F.array_distinct("relevant_items")) == 1
+        pairs |= {"relevant_one": single, "relevant_multiple": ~single}
     return x.select("qid", *[c.alias(k) for k, c in pairs.items()])
 
 
@@ -240,7 +243,6 @@ def union_catalog(items: DataFrame, train: DataFrame) -> DataFrame:
     return both.groupBy("item_id").agg(F.min(F.struct("__from", *[c for c in columns if c != "item_id"])).alias("r")).select(*[F.col("item_id") if c == "item_id" else F.col(f"r.{c}").alias(c) for c in columns])
 
 
-
 def keep_first(items: DataFrame) -> DataFrame:
     """One row of each item_id: the smallest in order of all other columns, so reruns agree."""
     columns = items.columns

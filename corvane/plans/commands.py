@@ -169,7 +169,7 @@ def evaluate_reranker(spark: SparkSession, data_dir: str, settings: Settings = S
         strata.append(evaluation.cluster_sums(compared, text.normalize_text(F.col("search_query"))))
         sums += strata[-1].sum(axis=0) if len(strata[-1]) else 0
         means.append(evaluation.wins_losses(compared).first()["mean_delta"] or 0.0)
-        slices = evaluation.unit_slices(p.units, p.past, index.items)
+        slices = evaluation.unit_slices(p.units, p.past, index.items, by_count=True)
         for r in evaluation.slice_means(compared, slices, "delta").where("queries >= 50").collect():  # a dozen slices
             floors[f"{fold}:{r['slice']}"] = r["mean"]
         base = sources.written(candidates.scored(p.rows, config.baseline).select("qid", "item_id"), "baseline")

@@ -808,14 +808,15 @@ def evaluation_wins_losses(w):
     f"""SELECT slice, count(*) FILTER (hit) AS queries, round(coalesce(avg(recall) FILTER (hit), 0), 6) AS mean FROM (SELECT recall, unnest([
     struct_pack(slice := 'filter_empty', hit := p = ''), struct_pack(slice := 'filter_present', hit := p <> ''), struct_pack(slice := 'category_global', hit := search_category = 0), struct_pack(slice := 'category_scoped', hit := search_category <> 0),
     struct_pack(slice := 'query_one_token', hit := k <= 1), struct_pack(slice := 'query_multi_token', hit := k > 1), struct_pack(slice := 'location_rare', hit := n < half), struct_pack(slice := 'location_common', hit := n >= half),
-    struct_pack(slice := 'relevant_all_history_seen', hit := seen), struct_pack(slice := 'relevant_has_unseen', hit := NOT seen), struct_pack(slice := 'relevant_all_exact_location', hit := here), struct_pack(slice := 'relevant_has_cross_location', hit := NOT here)], recursive := true)
-    FROM (SELECT r.recall, {norm('search_infm_params_text')} AS p, search_category, len({words(norm('search_query'))}) AS k, coalesce(l.n, 0) AS n, (SELECT median(n) FROM (SELECT count(*) AS n FROM past GROUP BY search_location_id)) AS half,
+    struct_pack(slice := 'relevant_all_history_seen', hit := seen), struct_pack(slice := 'relevant_has_unseen', hit := NOT seen), struct_pack(slice := 'relevant_all_exact_location', hit := here), struct_pack(slice := 'relevant_has_cross_location', hit := NOT here),
+    struct_pack(slice := 'relevant_one', hit := single), struct_pack(slice := 'relevant_multiple', hit := NOT single)], recursive := true)
+    FROM (SELECT r.recall, len(list_distinct(relevant_items)) = 1 AS single, {norm('search_infm_params_text')} AS p, search_category, len({words(norm('search_query'))}) AS k, coalesce(l.n, 0) AS n, (SELECT median(n) FROM (SELECT count(*) AS n FROM past GROUP BY search_location_id)) AS half,
       (SELECT bool_and(x IN (SELECT item_id FROM past)) FROM unnest(relevant_items) t(x)) AS seen, (SELECT bool_and(coalesce(i.item_location_id = q.search_location_id, false)) FROM unnest(relevant_items) t(x) LEFT JOIN items i ON i.item_id = x) AS here
       FROM recalls r JOIN queries q USING (qid) JOIN truth USING (qid) LEFT JOIN (SELECT search_location_id, count(*) AS n FROM past GROUP BY ALL) l USING (search_location_id))) GROUP BY slice"""
 )
 def evaluation_slices(w):
     units = w.queries.join(w.truth, "qid")
-    got = evaluation.slice_means(evaluation.recalls(w.answered(), w.truth), evaluation.unit_slices(units, w.past, w.items))
+    got = evaluation.slice_means(evaluation.recalls(w.answered(), w.truth), evaluation.unit_slices(units, w.past, w.items, by_count=True))
     return got.select("slice", "queries", *r6("mean"))
 
 
