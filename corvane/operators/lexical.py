@@ -27,8 +27,8 @@ def together(first: DataFrame, *others: DataFrame) -> DataFrame:
     """The rows of all parts, by column name.
 
     Spark 4.1 takes a union of parts that are partitioned alike for partitioned, and groups over it do not shuffle;
-    adaptive plans may still read one part differently, and then a group comes apart (one pair came out of a distinct
-    twice). The session's plans do without that.
+    adaptive plans may still read one part differently, and then a group may come apart (counts over such a distinct
+    came out doubled). The session's plans do without that.
     """
     first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     for other in others:
