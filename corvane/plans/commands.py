@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import behavior, candidates, evaluation, features, lexical, model, validation
+from ..operators import behavior, candidates, evaluation, features, lexical, model, packed, validation
 from ..operators.candidates import Settings
 from ..sources import io as sources
 from ..sources.schema import QUERY_COLUMNS
@@ -108,8 +108,8 @@ def prepared(problem: Problem, settings: Settings, config: RerankerConfig) -> Da
         return rows
     meta = features.metadata(rows, units, index.items, features.location_centers(index.items))
     terms = index.query_words(units).select(F.col("doc").alias("qid"), "term").join(index.vocabulary.select("term", "idf"), "term")
-    cover = lexical.coverage(rows, terms, index.word_postings, index.title_postings)
-    size = lexical.vocabulary_sizes(index.word_postings, index.items).select("item_id", lexical.length_norm(F.col("nnz"), F.col("median")).alias("word_vocab_bm25_length_norm"))
+    cover = packed.coverage(rows, terms, index.word_vectors, index.title_vectors)
+    size = lexical.vocabulary_sizes(index.word_vectors.sizes(), index.items).select("item_id", lexical.length_norm(F.col("nnz"), F.col("median")).alias("word_vocab_bm25_length_norm"))
     return keep(rows.join(meta, ["qid", "item_id"]).join(cover, ["qid", "item_id"]).join(size, "item_id"), "prepared")
 
 
