@@ -350,3 +350,62 @@ def test_the_five_dense_features_beside_the_47(spark):
         c = np.array([cos[k, at[x]] for x in own["item_id"]])
         expected = [c, c - cos[k].max(), np.log1p([min(order[x], 1000) for x in own["item_id"]]), c - (local.max() if len(local) else -1.0), np.log1p([(local > s).sum() if len(local) else 1e5 for s in c])]
         assert np.allclose(own[features.DENSE].to_numpy(), np.array(expected).T, atol=2e-6)
+
+
+def test_scans_of_vectors_equal_joins_of_postings(spark, items, queries, limits, monkeypatch):
+    """A search and given pairs from tables of whole documents, in small chunks, against joins of terms; odd texts among them."""
+    from corvane.operators import packed
+
+    monkeypatch.setattr(packed, "CHUNK", 2)
+    monkeypatch.setattr(packed, "ROWS", 2)
+    texts = ["a b a b c", "", None, "b", "квартиры  новые", "c  a b", "zz"]
+    docs = spark.createDataFrame([(f"d{k}", k % 2, t) for k, t in enumerate(texts)], "doc string, location long, text string").repartition(3)
+    for kind, index in (("words", Index(items, limits).words), ("chars", Index(items, limits).chars)):
+        plain = index(docs, "doc", F.coalesce("text", F.lit("")))
+        counts = packed.counts(docs, kind)
+        assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in plain.select("doc", "term", "tf").collect()}
+        known = lexical.vocabulary(plain, 7, 1)
+        assert {tuple(r) for r in lexical.known(packed.totals(docs, kind), 7, 1).select("term", "df", "cf").collect()} == {tuple(r) for r in known.select("term", "df", "cf").collect()}
+        held, vectors = lexical.postings(plain, known), packed.Vectors.of(docs, kind, packed.Terms.of(known))
+        assert table(vectors.postings(), "doc", "term", value="w") == pytest.approx(table(held, "doc", "term", value="w"))
+        asked = held.where("doc <> 'd3'")
+        for limit in (1, 2, 9):
+            assert table(vectors.nearest(asked, limit), "qid", "item_id", "rank", value="score") == table(lexical.nearest(asked, held, limit), "qid", "item_id", "rank", value="score")
+        places = spark.createDataFrame([("d0", 0), ("d0", 1), ("d5", 1), ("d4", None)], "qid string, location long")
+        at = docs.select(F.col("doc").alias("item_id"), "location")
+        assert table(vectors.nearest(asked, 2, places), "qid", "item_id", "rank", value="score") == table(lexical.nearest_in_locations(asked, held, 2, places, at), "qid", "item_id", "rank", value="score")
+        pairs = docs.select(F.col("doc").alias("qid")).crossJoin(docs.select(F.col("doc").alias("item_id"))).where("qid <> item_id or qid = 'd0'")
+        assert table(vectors.for_candidates(pairs, asked), "qid", "item_id", value="score") == table(lexical.for_candidates(pairs, asked, held), "qid", "item_id", value="score")
+        terms = asked.select(F.col("doc").alias("qid"), "term").join(known.select("term", "idf"), "term")
+        for name in ("word_unigram_coverage", "word_unigram_idf_coverage", "title_unigram_coverage"):
+            assert table(packed.coverage(pairs, terms, vectors, vectors), "qid", "item_id", value=name) == pytest.approx(table(lexical.coverage(pairs, terms, held, held), "qid", "item_id", value=name))
+        monkeypatch.setattr(packed, "QUERY_ROWS", 1)
+        assert table(vectors.nearest(asked, 2), "qid", "item_id", "rank", value="score") == table(lexical.nearest(asked, held, 2), "qid", "item_id", "rank", value="score")
+        monkeypatch.setattr(packed, "QUERY_ROWS", 1_000_000)
+        assert vectors.nearest(asked.limit(0), 2).count() == vectors.for_candidates(pairs, asked.limit(0)).count() == 0
+
+
+def test_searches_shuffle_tops_and_not_pairs(spark, items, queries, limits):
+    index = Index(items, limits)
+    plan = index.word_vectors.nearest(index.query_words(queries), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "HashAggregate" not in plan
+
+
+def test_labels_do_not_gather_relevant_items(spark):
+    """Labels are joined pair by pair: a query's relevant items may be a large part of the catalog."""
+    rows = spark.createDataFrame([("q", "a", 1.0), ("q", "b", 0.5), ("r", "a", 0.1), ("s", "a", 0.0)], "qid string, item_id string, base_score double")
+    units = spark.createDataFrame([("q", ["a", "a", "c", "d"]), ("r", [])], "qid string, relevant_items array<string>")
+    x = features.labelled(rows, units)
+    assert table(x, "qid", "item_id", value="label") == {("q", "a"): 1, ("q", "b"): 0, ("r", "a"): 0, ("s", "a"): 0}
+    assert table(x, "qid", "item_id", value="weight")[("q", "a")] == 25
+    assert "array_contains" not in x._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_text_of_a_log_is_normalised_once(spark, monkeypatch):
+    rows = spark.createDataFrame([("Red Car",), ("red  car",), (None,), ("Red Car",)], "search_query string")
+    log = rows.withColumn("n", F.monotonically_increasing_id())
+    for most in (50_000, 1):
+        monkeypatch.setattr(behavior, "TEXTS", most)
+        got = evaluation.with_fold(log)
+        assert sorted(r["key"] for r in got.collect()) == ["", "red car", "red car", "red car"]
+        assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == (most > 1)

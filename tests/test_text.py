@@ -68,3 +68,29 @@ def test_dense_texts(spark):
     frame = spark.createDataFrame([("  A   b ", None, "x" * 400), ("q", " p\n", None)], "t string, p string, d string")
     got = [tuple(r) for r in frame.select(text.dense_query_text(F.col("t"), F.col("p")), text.dense_item_text(F.col("t"), F.col("p"), F.col("d"))).collect()]
     assert got == [("a b", "A b |  | " + "x" * 300), ("q | p", "q | p | ")]
+
+
+def test_characters_that_stay_out_of_python_are_never_changed():
+    """Every character outside the class is in NFKC by itself and beside any other such."""
+    import re
+    import unicodedata
+
+    from corvane.functions import text
+
+    inside = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", text._CHANGEABLE)]
+    safe = [chr(c) for c in range(0x3000) if not any(a <= c <= b for a, b in inside)]
+    assert inside[-1][1] == 0x10FFFF and len(safe) > 900 and {*"éßñ»’ёяΩ€"} <= {*safe} and not {*"½\u00a0ﬁ…\u0301"} & {*safe}
+    assert all(unicodedata.is_normalized("NFKC", a + b) for a in safe for b in safe)
+
+
+def test_letters_of_other_scripts_end_words_as_before(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.functions import text
+
+    rows = [("Ёж é ï ñandú",), ("straße 𝒳 x\U0001f600y",), ("İı ᲀ һ ѐ",), ("½ ﬁ e\u0301",)]
+    got = spark.createDataFrame(rows, "t string").select(text.normalize_text(F.col("t")).alias("n"), text.folded(F.col("t")).alias("f")).collect()
+    import unicodedata
+
+    assert [r["f"] for r in got] == [unicodedata.normalize("NFKC", t) for (t,) in rows]
+    assert [r["n"] for r in got][0] == "еж and"[:2] + " andú"[:4] and got[1]["n"] == "stra e x x y" and got[2]["n"].split()[-1] == "ᲀ" and got[3]["n"] == "1 2 fi"
