@@ -409,3 +409,17 @@ def test_each_text_of_a_log_is_normalised_once(spark, monkeypatch):
         got = evaluation.with_fold(log)
         assert sorted(r["key"] for r in got.collect()) == ["", "red car", "red car", "red car"]
         assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == (most > 1)
+
+
+def test_the_registered_gate_measures_its_checks(spark, monkeypatch):
+    """Interval, slices and hashes come from the compared units, none is given."""
+    from corvane.plans import registry
+
+    seen = {}
+    real = evaluation.gate
+    monkeypatch.setattr(registry.evaluation, "gate", lambda *a: seen.update(dict(zip(["folds", "pooled", "low", "slices", "contract", "hashes"], a, strict=True))) or real(*a))
+    monkeypatch.setattr(registry.evaluation, "cluster_bootstrap", lambda strata, draws=0: seen.update(strata=strata) or (0.25, 0.5))
+    got = registry.QUERIES["evaluation_gate"](spark, "/root/testdata/sf0.001")
+    assert got.count() == 7 and seen["low"] == 0.25 and len(seen["folds"]) == len(seen["strata"]) > 1
+    assert seen["pooled"] == pytest.approx(sum(s[:, 0].sum() for s in seen["strata"]) / sum(s[:, 1].sum() for s in seen["strata"]))
+    assert isinstance(seen["contract"], bool) and seen["hashes"] is True
