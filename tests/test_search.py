@@ -423,3 +423,27 @@ def test_the_registered_gate_measures_its_checks(spark, monkeypatch):
     assert got.count() == 7 and seen["low"] == 0.25 and len(seen["folds"]) == len(seen["strata"]) > 1
     assert seen["pooled"] == pytest.approx(sum(s[:, 0].sum() for s in seen["strata"]) / sum(s[:, 1].sum() for s in seen["strata"]))
     assert isinstance(seen["contract"], bool) and seen["hashes"] is True
+
+
+def test_a_log_is_counted_by_numbers_and_folded_by_text(spark, items):
+    """Texts of a log are many times as long as what is asked of them: they are not shuffled, and not hashed for each click."""
+    log = spark.createDataFrame([("a b", 7, 2, 1), ("a b", 7, 2, 1), ("a b", 7, 2, 3), ("c", 8, 3, 1), ("", 9, 1, 1)], "key string, key_id long, fold_5 int, n int").select("key", "key_id", "fold_5", F.concat(F.lit("aaaaaaaaaaaaaaa"), "n").alias("item_id"))
+    got = behavior.history(log, items)
+    dealt = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert any("key_id#" in line or "item_id#" in line for line in dealt) and not any("hashpartitioning(key#" in line for line in dealt if "item_id#" in line)
+    plain = behavior.history(log.drop("key_id"), items)
+    assert got.columns == plain.columns and sorted(got.collect()) == sorted(plain.collect())
+    assert {r["key"]: r["fold"] for r in evaluation.with_fold(log).collect()} == {"a b": 2, "c": 3, "": 1}
+    assert evaluation.leaked_texts(log.where("key = 'c'").select("key"), log) == 1
+    evaluation.assert_folds(log, [0, 4])
+
+
+def test_tables_of_the_registered_log_are_made_once(spark):
+    from corvane.plans import registry
+
+    made = {}
+    w = registry.World(spark, "/root/testdata/sf0.001")
+    w.keep = lambda frame, name: made.setdefault(name, frame) if name not in made else pytest.fail(f"{name} is made twice")
+    assert w.units is w.units and w.past.count() < w.clicks.count()
+    assert set(made) == {"clicks", "asked", "keys", "searches", "units"}
+    assert not {"search_query", "search_infm_params_text", "key"} & {*made["clicks"].columns}
