@@ -447,3 +447,13 @@ def test_tables_of_the_registered_log_are_made_once(spark):
     assert w.units is w.units and w.past.count() < w.clicks.count()
     assert set(made) == {"clicks", "asked", "keys", "searches", "units"}
     assert not {"search_query", "search_infm_params_text", "key"} & {*made["clicks"].columns}
+
+
+def test_a_grid_counts_relevant_items_once(spark):
+    rows = spark.createDataFrame([("q1", "a", 1.0, 0.0), ("q1", "b", 0.5, 2.0), ("q2", "c", 1.0, 0.0)], "qid string, item_id string, word double, char double")
+    units = spark.createDataFrame([("q1", ["a", "b", "b", "x", "y"]), ("q2", ["z"]), ("q3", ["c"])], "qid string, relevant_items array<string>")
+    got = evaluation.grid_recalls(rows, units, [{"word": 1.0}, {"char": 1.0}], ["word", "char"], top_k=1)
+    assert {r["trial"]: r["recall"] for r in got.collect()} == pytest.approx({0: 0.25 / 3, 1: 0.25 / 3})
+    lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    exploded = [line for line in lines if "Generate explode(array_distinct(relevant_items" in line]
+    assert exploded and all("), [" in line for line in exploded)  # names what is dropped: an array that stayed would be counted for each of its items
