@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import behavior, candidates, dense, evaluation, features, lexical, model, validation
+from corvane.operators import behavior, candidates, dense, evaluation, features, lexical, model, packed, validation
 from corvane.plans.retrieval import Behavior, Index, Limits, improved_features, legacy_features
 from corvane.sources import io, schema
 
@@ -457,3 +457,20 @@ def test_a_grid_counts_relevant_items_once(spark):
     lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     exploded = [line for line in lines if "Generate explode(array_distinct(relevant_items" in line]
     assert exploded and all("), [" in line for line in exploded)  # names what is dropped: an array that stayed would be counted for each of its items
+
+
+def test_a_search_of_several_places_scans_once(spark, items, queries, limits, monkeypatch):
+    index = Index(items, limits)
+    words = index.query_words(queries)
+    places = [spark.createDataFrame(rows, "qid string, location long") for rows in ([("q1", 20), ("q2", 30)], [("q1", 10), ("q2", 10), ("zz", 20)])]
+    rows = lambda f: sorted(tuple(r) for r in f.select("qid", "item_id", "score", "rank").collect())
+    asked = [None, *places]
+    each = index.word_vectors.nearest_each(words, 2, asked)
+    assert each._jdf.queryExecution().executedPlan().toString().count("MapInArrow best(") == 1
+    for most in (packed.QUERY_ROWS, 0):
+        monkeypatch.setattr(packed, "QUERY_ROWS", most)
+        each = index.word_vectors.nearest_each(words, 2, asked)
+        for k, place in enumerate(asked):
+            assert rows(each.where(F.col("part") == k)) == rows(index.word_vectors.nearest(words, 2, place))
+    found = candidates.channel(each, "word", ["all", "near", "far"]).groupBy("source").count().collect()
+    assert {r["source"] for r in found} == {"all", "near", "far"}
