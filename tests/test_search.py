@@ -474,3 +474,50 @@ def test_a_search_of_several_places_scans_once(spark, items, queries, limits, mo
             assert rows(each.where(F.col("part") == k)) == rows(index.word_vectors.nearest(words, 2, place))
     found = candidates.channel(each, "word", ["all", "near", "far"]).groupBy("source").count().collect()
     assert {r["source"] for r in found} == {"all", "near", "far"}
+
+
+def test_totals_are_added_up_before_they_are_shuffled(spark, monkeypatch):
+    """A task gives each term once, or several times where it holds few; the totals are the same."""
+    from corvane.operators import packed
+
+    monkeypatch.setattr(packed, "ROWS", 2)
+    docs = spark.createDataFrame([(t,) for t in ["a b a", "a b", "", None, "b c", "a b", "c"] * 5], "text string").coalesce(1)
+    want = {("a", 15, 20), ("b", 20, 20), ("c", 10, 10), ("a b", 15, 15), ("b a", 5, 5), ("b c", 5, 5)}
+    for held in (1_500_000, 1):
+        monkeypatch.setattr(packed, "HELD", held)
+        found = packed.totals(docs, "words")
+        assert {tuple(r) for r in found.collect()} == want
+        monkeypatch.setattr(packed.F, "sum", packed.F.count)  # of the rows of each term that are shuffled
+        given = [r["df"] for r in packed.totals(docs, "words").collect()]
+        monkeypatch.undo()
+        monkeypatch.setattr(packed, "ROWS", 2)
+        assert len(given) == 6 and (max(given) == 1) == (held > 1)
+
+
+def test_known_words_make_the_vectors_of_all_grams(spark):
+    """Pairs whose words are no terms themselves, words that are only parts of pairs, unknown words between known ones."""
+    import pyarrow as pa
+
+    from corvane.operators import packed
+
+    texts = pa.array(["a b a b x a", "x", "", None, "b c  b c", "квартиры новые новый", "a x b"], pa.string())
+    for terms in (["a", "a b", "b c", "квартир", "квартир нов"], ["a b"], ["b"], ["нов нов", "x"], []):
+        held = pa.array(sorted(terms), pa.string())
+        owner, code, tf, found = packed.word_grams(texts)
+        names = [found[int(c)].as_py() for c in code]
+        expected = {(int(o), n, int(t)) for o, n, t in zip(owner, names, tf, strict=True) if n in terms}
+        owner, ids, tf = packed.Known.of(held).counted(texts)
+        assert {(int(o), held[int(k)].as_py(), int(t)) for o, k, t in zip(owner, ids, tf, strict=True)} == expected and (np.diff(owner) >= 0).all()
+
+
+def test_scans_are_fine_only_while_tables_are_made(spark, tmp_path):
+    spark.range(4).selectExpr("id", "repeat(uuid(), 400000) AS x").repartition(4).write.parquet(f"{tmp_path}/t")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    parts = lambda: spark.read.parquet(f"{tmp_path}/t").rdd.getNumPartitions()
+    before = parts()
+    with io.fine_scans(spark):
+        with io.fine_scans(spark):
+            assert parts() > 2 * before
+        assert parts() > 2 * before
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None

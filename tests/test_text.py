@@ -100,3 +100,23 @@ def test_the_look_ahead_changes_nothing(spark):
     c = F.col("c")
     found = spark.range(0x30000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
     assert found.where(c.rlike(text._CHANGED) != c.rlike(text._CHANGEABLE)).count() == 0 and found.where(c.rlike(text._CHANGED)).count() > 100_000
+
+
+def test_texts_of_an_arrow_batch_are_normalised_as_columns(spark):
+    """Each plain character alone and between letters, odd texts, nulls and runs; what is left to Spark comes out the same."""
+    import pyarrow as pa
+
+    from corvane.operators import packed
+
+    steady = [chr(c) for c in text._steady()]
+    texts = [*TEXTS, *steady, *[f"aБ{c}я{c}  Z" for c in steady], "ΑΣ ΣΑΣ", "İstanbul", "é x", "a  b\n\nc -- d", "- a -", "\U0001f600" * 3, "1 2", "x y" * 700 + "Σ" * 400]
+    plain = text.normalized_plain(pa.array(texts, pa.string()))
+    assert plain.null_count < 20 and {texts[k] for k in range(len(texts)) if not plain[k].is_valid} >= {"ﬁne ½ №5", "Σ", "İ", "İstanbul", "é x", "ΑΣ ΣΑΣ"}
+    raw = spark.createDataFrame([(k, t, t) for k, t in enumerate(texts)], "k long, whole string, cut string")
+    for unicode in (True, False):
+        n = lambda c: text.normalize_text(F.col(c), unicode)  # noqa: B023, E731
+        expected = {tuple(r) for r in raw.select("k", n("whole"), F.substring(n("cut"), 1, 900)).collect()}
+        made = packed.normalized(raw, {"whole": None, "cut": 900}, unicode)
+        assert {tuple(r) for r in made.collect()} == expected and made.columns == raw.columns
+    assert [x.as_py() for x in plain.slice(0, 4)] == ["", "", "", "елка еж"]
+    assert "ArrowEvalPython" not in made._jdf.queryExecution().executedPlan().toString()
