@@ -521,3 +521,24 @@ def test_scans_are_fine_only_while_tables_are_made(spark, tmp_path):
         assert parts() > 2 * before
     spark.conf.unset("spark.sql.files.openCostInBytes")
     assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_words_that_are_rare_make_no_frequent_pairs(spark, monkeypatch):
+    """The most frequent terms are those of all totals, with ties at the end, few words, and words that are too many to travel."""
+    from corvane.operators import packed
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in np.minimum(rng.zipf(1.4, 12), 60)) for _ in range(60)] + ["", None, "новые квартиры новые квартиры", "rare pair", "w1 w1 w1"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    whole, counted = packed.totals(docs, "words"), []
+    monkeypatch.setattr(packed, "_added", lambda *a, f=packed._added: counted.append(a[2]) or f(*a))
+    for words in (400_000, 3):
+        monkeypatch.setattr(packed, "WORDS", words)
+        for least, most in ((1, 5), (2, 12), (2, 40), (1, 70), (2, 10_000), (50, 10)):
+            few = packed.frequent(docs, least, most, lambda frame: frame.cache())
+            rows = lambda x: [tuple(r) for r in lexical.known(x, 65, least, most).select("term", "df", "cf").orderBy(F.desc("cf"), "term").collect()]  # noqa: B023, E731
+            assert rows(few) == rows(whole), (words, least, most)
+    assert counted.count("term") > 12 and 6 <= counted.count("pair") < 12  # single words each time, and all totals where words were too many
+    assert packed.frequent(docs, 1, 5, lambda frame: frame.cache()).count() == whole.count()
+    monkeypatch.setattr(packed, "WORDS", 400_000)
+    assert packed.frequent(docs, 1, 5, lambda frame: frame.cache()).count() < whole.count() / 4
